@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import exact_dedup, mixing, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest_columns(exact_dedup.exact_groups(documents(spark, sf_dir)))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -20,8 +24,8 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": mixing.oracle_sql()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mix": mixing.oracle_sql()}
