@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, mixing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_columns(exact_dedup.exact_groups(documents(spark, sf_dir)))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -24,7 +28,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
