@@ -51,6 +51,5 @@ def test_filter_has_no_false_negatives():
     import numpy as np
 
     d = np.array([hashlib.sha256(bytes([i])).digest() for i in range(200)], "V32")
-    b = X.Bloom(12)
-    b.add(d[:100])
+    b = X.Bloom.of(d[:100])
     assert b.might_hold(d[:100]).all() and b.might_hold(d[100:]).mean() < 0.2

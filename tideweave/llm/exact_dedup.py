@@ -66,19 +66,21 @@ def _id_key(i: int | None) -> tuple[bool, int]:
 
 
 class Bloom:
-    """A Bloom filter of ``1 << bits`` bits over digests, with four probes."""
+    """A Bloom filter over digests: four probes, eight bits or more for each digest."""
 
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits = bits
-        self.words = np.zeros(1 << max(bits - 6, 0), np.uint64) if words is None else words
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    def probes(self, digests: np.ndarray) -> np.ndarray:
-        parts = np.frombuffer(digests.tobytes(), "<u8").reshape(len(digests), -1)[:, :4]
-        return parts >> np.uint64(64 - self.bits)
-
-    def add(self, digests: np.ndarray) -> None:
+    @classmethod
+    def of(cls, digests: np.ndarray) -> Bloom:
+        self = cls(np.zeros(1 << max(0, (8 * len(digests) - 1).bit_length() - 6), np.uint64))
         p = self.probes(digests).ravel()
         np.bitwise_or.at(self.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        return self
+
+    def probes(self, digests: np.ndarray) -> np.ndarray:
+        parts = np.frombuffer(digests.tobytes(), "<u8").reshape(len(digests), -1)[:, :4]
+        return parts >> np.uint64(64 - (64 * len(self.words) - 1).bit_length())
 
     def might_hold(self, digests: np.ndarray) -> np.ndarray:
         p = self.probes(digests)
@@ -100,7 +102,7 @@ class Memtable:
         self.held[d].append((text, [doc_id]))
         self.bytes += len(text) + 64
 
-    def flush(self, run: str, ranges: int, filter_bits: int) -> pa.RecordBatch:
+    def flush(self, run: str, ranges: int) -> pa.RecordBatch:
         rows = []
         for d in sorted(self.held):
             bucket = int.from_bytes(d[:4], "big") * ranges >> 32
@@ -114,8 +116,7 @@ class Memtable:
             to = at
             while to < len(rows) and rows[to][0] == rows[at][0]:
                 to += 1
-            f = Bloom(filter_bits)
-            f.add(np.array([x[1].ljust(32, b"\0") for x in rows[at:to] if x[6]], "V32"))
+            f = Bloom.of(np.array([x[1].ljust(32, b"\0") for x in rows[at:to] if x[6]], "V32"))
             rows[at] = (*rows[at][:7], f.words.tobytes())
             at = to
         self.held, self.bytes = {}, 0
@@ -124,7 +125,7 @@ class Memtable:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=RUNS.names)
 
 
-def flushed_runs(docs: DataFrame, ranges: int, memtable_bytes: int = MEMTABLE_BYTES, digest=sha256, filter_bits: int = 12) -> DataFrame:
+def flushed_runs(docs: DataFrame, ranges: int, memtable_bytes: int = MEMTABLE_BYTES, digest=sha256) -> DataFrame:
     """Runs of all documents (doc_id, text): see RUNS."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +138,10 @@ def flushed_runs(docs: DataFrame, ranges: int, memtable_bytes: int = MEMTABLE_BY
             for i, t in zip(ids, text):
                 table.put(i, normalised(t.as_py() or b""))
                 if table.bytes >= memtable_bytes:
-                    yield table.flush(f"{part}.{k}", ranges, filter_bits)
+                    yield table.flush(f"{part}.{k}", ranges)
                     k += 1
         if table.held:
-            yield table.flush(f"{part}.{k}", ranges, filter_bits)
+            yield table.flush(f"{part}.{k}", ranges)
 
     return docs.mapInArrow(work, RUNS)
 
@@ -178,15 +179,14 @@ def compact(digests: np.ndarray, ids: np.ndarray, runs: list[np.ndarray], filter
             if len(tier) >= FAN_IN:
                 both = np.concatenate([x.rows for x in tier])
                 order = both[np.argsort(digests[both], kind="stable")]
-                bits = Bloom(tier[0].bloom.bits, np.bitwise_or.reduce([x.bloom.words for x in tier]))
                 if t + 1 == len(levels):
                     levels.append([])
-                levels[t + 1].append(Level(digests[order], order, bits))
+                levels[t + 1].append(Level(digests[order], order, Bloom.of(digests[order])))
                 tier.clear()
     return np.flatnonzero(hit)
 
 
-def hits(runs: DataFrame, filter_bits: int = 12) -> DataFrame:
+def hits(runs: DataFrame) -> DataFrame:
     """Leaders (digest, run, leader_id, n) of digests that more than one run holds."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -200,9 +200,8 @@ def hits(runs: DataFrame, filter_bits: int = 12) -> DataFrame:
         held = table["filter"].to_pylist()
         for r in rows:
             kept_ = [held[i] for i in r if held[i] is not None]
-            bloom = Bloom(filter_bits, np.frombuffer(kept_[0], np.uint64)) if kept_ else Bloom(filter_bits)
-            if not kept_:  # a run of second texts shares its range's filter with the first
-                bloom.add(np.frombuffer(digests[r].astype("S32").tobytes(), "V32"))
+            # a run of second texts shares its range's filter with the first
+            bloom = Bloom(np.frombuffer(kept_[0], np.uint64)) if kept_ else Bloom.of(digests[r])
             blooms.append(bloom)
         found = compact(digests, ids, rows, blooms)
         return table.select(_HITS.names).take(pa.array(found))
@@ -211,6 +210,23 @@ def hits(runs: DataFrame, filter_bits: int = 12) -> DataFrame:
     return leaders.groupBy("bucket").applyInArrow(work, _HITS)
 
 
+#: Bits of the filter that goes before fetching texts, a power of two: 2 MB as a table.
+WANTED_BITS = 1 << 23
+
+
+def wanted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that may be leaders of hits: a filter of fixed size, sent to all tasks.
+
+    Its table has ``WANTED_BITS / 64`` rows at most.  The fuller it is the more rows pass; the join
+    that follows is exact in any case.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(leader_id), {WANTED_BITS}) & 63 as int))")
+    words = found.groupBy(F.shiftright(bit("leader_id"), 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    asked = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(doc_id), {WANTED_BITS}) & 63 as int)) & 1) = 1")
+    return docs.join(F.broadcast(words), F.shiftright(bit("doc_id"), 6) == F.col("_word")).filter(asked).select(*docs.columns)
+
+
 def verified(docs: DataFrame, found: DataFrame, digest=sha256) -> DataFrame:
     """Leaders of hits (run, leader_id) with keep_id, keep_run and group_size after comparing bytes."""
     schema = T.StructType([RUNS["run"], RUNS["leader_id"], RUNS["n"], T.StructField("keep_id", T.LongType()), T.StructField("keep_run", T.StringType())])
@@ -238,7 +254,7 @@ def verified(docs: DataFrame, found: DataFrame, digest=sha256) -> DataFrame:
             columns = list(zip(*out)) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(found, F.col("_id").eqNullSafe(F.col("leader_id")))
+    texts = wanted(docs, found).select(F.col("doc_id").alias("_id"), "text").join(found, F.col("_id").eqNullSafe(F.col("leader_id")))
     texts = texts.select("digest", "run", "leader_id", "n", "text")
     order = ["digest", F.col("leader_id").asc_nulls_last(), "run"]
     rows = texts.repartition("digest").sortWithinPartitions(*order).mapInArrow(work, schema)
