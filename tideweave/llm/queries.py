@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, quality, secrets
+from . import exact_dedup, jaccard, mixing, quality, secrets, token_ids
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,22 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_ids(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
