@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, quality, secrets, token_ids
+from . import exact_dedup, jaccard, mixing, pieces, quality, secrets, token_ids
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,21 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def piece_model() -> bytes:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(documents(spark, sf_dir), piece_model(), with_ids=False, with_text=False)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
