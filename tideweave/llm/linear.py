@@ -48,17 +48,19 @@ class Linear:
         return sigmoid(self.slope * raw + self.shift)
 
 
-def platt(raw: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and shift by Newton's method, with Platt's smoothed targets."""
+def platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 200) -> tuple[float, float]:
+    """Slope and shift by damped Newton steps, with Platt's smoothed targets and a weak pull to slope 1."""
     pos = y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    weight = np.ones(len(y)) if weight is None else weight
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * raw + b)
-        g = np.array([((p - t) * raw).sum(), (p - t).sum()])
-        w = p * (1 - p) + 1e-9
-        h = np.array([[(w * raw * raw).sum() + 1e-6, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
+        e = weight * (p - t)
+        g = np.array([(e * raw).sum() + 0.1 * (a - 1), e.sum()])
+        w = weight * p * (1 - p)
+        h = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-3]])
+        d = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - d[0], b - d[1]
         if abs(d).max() < 1e-8:
             break

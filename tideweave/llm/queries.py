@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, pieces, quality, secrets, token_ids
+from . import exact_dedup, jaccard, mixing, pieces, quality, secrets, token_ids, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
