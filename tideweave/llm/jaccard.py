@@ -17,7 +17,9 @@ is cut into pieces, one for each fragment that it has n-grams in.
 5. A pair's overlap is counted in each vertical piece on its own, summed, and held against the
    sizes.
 
-Hashes have 64 bits: two given n-grams collide with a chance of 2**-64.
+An n-gram is the number of its fragment and the last 48 bits of its hash.  Two given n-grams of one
+fragment collide with a chance of 2**-48: that can make a class a candidate for nothing, but changes
+an overlap only where it happens within one pair of documents.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ WIDTH = 5
 SIMILAR = (75, 100)
 #: N-grams for one fragment, about.
 FRAGMENT_GRAMS = 1 << 21
-#: Vertical pieces that overlaps are counted in.
+#: Vertical pieces that overlaps are counted in, a power of two.
 PIECES = 4
 #: Leaders that a class is compared with first.
 LEADERS = 2
@@ -94,6 +96,17 @@ _PACKED = T.StructType(
 )
 
 
+def _packed_grams(grams: np.ndarray) -> bytes:
+    """Six bytes each; the fragment stands for the rest."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked_grams(data: bytes, fragment: int) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64(fragment & 0xFFFF) << np.uint64(48)
+
+
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
 
@@ -101,17 +114,16 @@ def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
 def packed(docs: DataFrame, width: int, fragments: int) -> DataFrame:
     """For each slice of the input and fragment one row with the pieces of its documents.
 
-    Row ``-1 - k`` holds what skips the fragments: n-grams that several classes of the slice share.
+    Fragment ``-1 - k`` holds what skips fragment k: n-grams that several classes of the slice share.
     """
 
     def row(number: int, ids, cls, size, doc: np.ndarray, grams: np.ndarray, marks: np.ndarray) -> tuple:
         who, lengths = np.unique(doc, return_counts=True)  # doc is ascending
         pick = lambda x: np.append(x[who], np.full(int(len(marks) > 0), _MANY, np.int64)).tobytes()
         lengths = np.append(lengths, np.full(int(len(marks) > 0), len(marks), np.int64)).astype(np.int32)
-        return number, pick(ids), pick(cls), pick(size), lengths.tobytes(), np.concatenate([grams, marks]).tobytes()
+        return number, pick(ids), pick(cls), pick(size), lengths.tobytes(), _packed_grams(np.concatenate([grams, marks]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
             whole = C.column(batch.column(1))
             all_ids = batch.column(0).fill_null(_NO_ID).to_numpy()
@@ -137,61 +149,113 @@ def packed(docs: DataFrame, width: int, fragments: int) -> DataFrame:
                 cut_marks = np.searchsorted(f_marks, np.arange(fragments + 1))
                 for k in range(fragments):
                     here = slice(cut[k], cut[k + 1])
-                    alone = ~many[here]
-                    g, d, m = grams[here][alone], doc[here][alone], marks[cut_marks[k] : cut_marks[k + 1]]
-                    if len(g) or len(m):
-                        by = np.argsort(d, kind="stable")
-                        out.append(row(k, ids, cls, size, d[by], g[by], m))
-                if many.any():
-                    by = np.argsort(doc[many], kind="stable")
-                    turn += 1
-                    out.append(row(-1 - turn % fragments, ids, cls, size, doc[many][by], grams[many][by], marks[:0]))
+                    m = marks[cut_marks[k] : cut_marks[k + 1]]
+                    for number, pick, seen in ((k, ~many[here], m), (-1 - k, many[here], m[:0])):
+                        g, d = grams[here][pick], doc[here][pick]
+                        if len(g) or len(seen):
+                            by = np.argsort(d, kind="stable")
+                            out.append(row(number, ids, cls, size, d[by], g[by], seen))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_PACKED.names)
 
     return docs.mapInArrow(work, _PACKED)
 
 
-_SHARED = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]
-)
+_SHARED = T.StructType([T.StructField("bucket", T.IntegerType()), *_PACKED.fields[1:]])
 
 
-def shared_grams(packs: DataFrame) -> DataFrame:
-    """Per document and fragment the n-grams that another class has too."""
+def _entries(table: pa.Table, unpack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owners' ids, classes and sizes; the place of each n-gram's owner; the n-grams."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+    ids, cls, size = (read(c, np.int64) for c in ("doc_ids", "classes", "sizes"))
+    grams = np.concatenate([unpack(x) for x in table["grams"].to_pylist()])
+    return ids, cls, size, np.repeat(np.arange(len(ids)), read("lengths", np.int32)), grams
+
+
+def _shared_rows(grams: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of n-grams that more than one class has, or that have a marker."""
+    order = np.argsort(grams)
+    g = grams[order]
+    same = g[1:] == g[:-1]
+    mark = size[owner[order]] == _MANY
+    order = order[np.append(same, False) | np.append(False, same)] if len(g) else order
+    if not len(order):
+        return order
+    order = order[np.lexsort((cls[owner[order]], grams[order]))]
+    g, of, mark = grams[order], cls[owner[order]], size[owner[order]] == _MANY
+    head = np.append(True, g[1:] != g[:-1])
+    group = np.cumsum(head) - 1
+    is_shared = np.zeros(group[-1] + 1, bool)
+    is_shared[group[np.append(False, ~head[1:] & (of[1:] != of[:-1])) | mark]] = True
+    return order[is_shared[group] & ~mark]
+
+
+def shared_grams(packs: DataFrame, buckets: int) -> DataFrame:
+    """The n-grams that another class has too, packed for buckets of classes.
+
+    Of equal classes the document with the smallest identifier goes on.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-        ids, cls, size = (read(c, np.int64) for c in ("doc_ids", "classes", "sizes"))
-        lengths, grams = read("lengths", np.int32), read("grams", np.uint64)
-        owner = np.repeat(np.arange(len(ids)), lengths)
-        if table["fragment"][0].as_py() >= 0:
-            order = np.argsort(grams)
-            grams, owner = grams[order], owner[order]
-            same = grams[1:] == grams[:-1]
-            more = np.append(same, False) | np.append(False, same) | (size[owner] == _MANY)
-            grams, owner = grams[more], owner[more]
-            # among equal n-grams: more than one class, or a marker
-            of = cls[owner]
-            order = np.lexsort((of, grams))
-            grams, owner, of = grams[order], owner[order], of[order]
-            head = np.append(True, grams[1:] != grams[:-1])[: len(grams)]
-            group = np.cumsum(head) - 1
-            differs = np.append(False, (grams[1:] == grams[:-1]) & (of[1:] != of[:-1]))[: len(grams)]
-            is_shared = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-            mark = size[owner] == _MANY
-            is_shared[group[differs | mark]] = True
-            stay = is_shared[group] & ~mark if len(group) else np.zeros(0, bool)
+        number = table["fragment"][0].as_py()
+        k = number if number >= 0 else -1 - number
+        ids, cls, size, owner, grams = _entries(table, lambda x: _unpacked_grams(x, k))
+        if number >= 0:
+            stay = _shared_rows(grams, owner, cls, size)
             grams, owner = grams[stay], owner[stay]
-            order = np.argsort(owner, kind="stable")
-            grams, owner = grams[order], owner[order]
-        who, first = np.unique(owner, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(grams)).astype(np.int32)), pa.array(grams.view(np.int64)))
-        return pa.table([pa.array(ids[who]), pa.array(cls[who]), pa.array(size[who]), lists], names=_SHARED.names)
+        # one entry for each n-gram and class, the smallest document's
+        order = np.lexsort((ids[owner], cls[owner], grams))
+        grams, owner = grams[order], owner[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (cls[owner][1:] != cls[owner][:-1]))[: len(grams)]
+        grams, owner = grams[new], owner[new]
+        bucket = (cls % buckets).astype(np.int32)
+        order = np.lexsort((owner, bucket[owner]))
+        grams, owner = grams[order], owner[order]
+        out = []
+        at = np.flatnonzero(np.append(True, bucket[owner][1:] != bucket[owner][:-1])) if len(owner) else []
+        for lo, hi in zip(at, [*at[1:], len(owner)]):
+            who, lengths = np.unique(owner[lo:hi], return_counts=True)
+            out.append((int(bucket[who[0]]), ids[who].tobytes(), cls[who].tobytes(), size[who].tobytes(), lengths.astype(np.int32).tobytes(), grams[lo:hi].tobytes()))
+        columns = list(zip(*out)) if out else [[] for _ in _SHARED]
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_SHARED.names)
 
     return packs.groupBy("fragment").applyInArrow(work, _SHARED)
 
 
+_ALIVE = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+
+def living(found: DataFrame, reps: DataFrame, buckets: int, similar: tuple[int, int]) -> DataFrame:
+    """Representatives that a partner can reach, with the n-grams that they share."""
+    num, den = similar
+
+    def work(table: pa.Table, chosen: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))], names=_ALIVE.names)
+        ids, cls, size, owner, grams = _entries(table, lambda x: np.frombuffer(x, np.uint64))
+        c, d = chosen["cls"].to_numpy(), chosen["doc_id"].to_numpy()
+        by = np.argsort(c)
+        c, d = c[by], d[by]
+        at = np.minimum(np.searchsorted(c, cls), len(c) - 1)
+        good = (c[at] == cls) & (d[at] == ids)
+        stay = good[owner]
+        owner, grams = owner[stay], grams[stay]
+        order = np.lexsort((grams, cls[owner]))
+        owner, grams = owner[order], grams[order]
+        of = cls[owner]
+        new = np.append(True, (of[1:] != of[:-1]) | (grams[1:] != grams[:-1]))[: len(of)]
+        owner, grams, of = owner[new], grams[new], of[new]
+        who, first, many = np.unique(of, return_index=True, return_counts=True)
+        n = size[owner[first]] if len(first) else first
+        alive = n - many < n - (n * num + den - 1) // den + 1
+        keep = np.repeat(alive, many)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[alive])]).astype(np.int32)), pa.array(grams[keep].view(np.int64)))
+        return pa.table([pa.array(who[alive]), pa.array(n[alive]), lists], names=_ALIVE.names)
+
+    reps = reps.select(F.pmod("cls", F.lit(buckets)).cast("int").alias("bucket"), "cls", "doc_id")
+    return found.groupBy("bucket").cogroup(reps.groupBy("bucket")).applyInArrow(work, _ALIVE)
+
+
 def prefix_room(n: Column, similar: tuple[int, int]) -> Column:
     """Length of the prefix of a set of n: any partner shares one of its n-grams."""
     num, den = similar
@@ -209,7 +273,7 @@ def overlapping(pairs: DataFrame, alive: DataFrame, similar: tuple[int, int]) ->
     Each vertical piece is counted on its own; the partial counts are summed per pair.
     """
     num, den = similar
-    piece = lambda k: F.filter("grams", lambda g: F.shiftrightunsigned(g, 62) == k)
+    piece = lambda k: F.filter("grams", lambda g: g.bitwiseAND(F.lit(PIECES - 1)) == k)
     cut = alive.select("cls", "n", F.posexplode(F.array(*(piece(k) for k in range(PIECES)))).alias("piece", "grams")).filter(F.size("grams") > 0)
     left = cut.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), "piece", F.col("grams").alias("g_a"))
     right = cut.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), "piece", F.col("grams").alias("g_b"))
@@ -228,36 +292,42 @@ def links(docs: DataFrame, per_doc: DataFrame, width: int, similar: tuple[int, i
     reps = per_doc.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("doc_id"), F.first("n").alias("n"))
     total = reps.agg(F.sum("n")).first()[0] or 0
     fragments = max(shuffle_width(spark), -(-total // fragment_grams))
-    found = shared_grams(packed(docs, width, fragments))
+    found = shared_grams(packed(docs, width, fragments), fragments)
     room = prefix_room(F.col("n"), similar)
-    # 3. of representatives only, those that a partner can reach
-    own = found.join(reps.select("cls", "doc_id"), ["cls", "doc_id"], "left_semi").groupBy("cls").agg(
-        F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")
-    )
-    alive = kept(own.filter(F.col("n") - F.size("grams") < room), "alive")
+    alive = kept(living(found, reps, fragments, similar), "alive")
     # 4. prefixes in the order of how many living classes have an n-gram
     posts = alive.select("cls", F.explode("grams").alias("gram"))
     often = posts.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = posts.join(often, "gram").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
-    left = (room - (F.col("n") - F.size("ranked"))).cast("int")
-    prefix = alive.select("cls", "n").join(ranked, "cls").filter(left > 0)
-    prefix = kept(prefix.select("cls", "n", F.transform(F.slice("ranked", F.lit(1), left), lambda x: x["gram"]).alias("prefix")), "prefix")
-    listed = prefix.select("cls", "n", F.explode("prefix").alias("gram"))
-    leaders = listed.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("lead"))
-    some = prefix.select("cls", "n", F.explode(F.slice(F.array_sort("prefix"), 1, LEADERS)).alias("gram"))
-    star = some.join(leaders, "gram").filter((F.col("cls") != F.col("lead.cls")) & close_sizes(F.col("n"), F.col("lead.n"), similar))
-    star = star.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    own = (F.col("n") - F.size("ranked")).alias("own")  # n-grams without a partner come first in the order
+    prefix = alive.select("cls", "n").join(ranked, "cls").select("cls", "n", own, "ranked").filter(room > F.col("own"))
+    first_ones = F.slice("ranked", F.lit(1), (room - F.col("own")).cast("int"))
+    # reach: n-grams from this one on, the most that an overlap starting here can have
+    listing = F.transform(first_ones, lambda x, i: F.struct(x["gram"].alias("gram"), (F.col("n") - F.col("own") - i).alias("reach")))
+    prefix = kept(prefix.select("cls", "n", "own", listing.alias("prefix")), "prefix")
+    listed = prefix.select("cls", "n", "own", F.inline("prefix"))
+    num, den = similar
+    possible = lambda reach, a, b: reach * (num + den) >= (a + b) * num
+    # a leader has few n-grams of its own, so it is near the middle of its group
+    leaders = listed.groupBy("gram").agg(F.min(F.struct("own", "cls", "n", "reach")).alias("lead"))
+    some = listed.join(leaders, "gram").filter((F.col("cls") != F.col("lead.cls")) & close_sizes(F.col("n"), F.col("lead.n"), similar))
+    some = some.filter(possible(F.least("reach", "lead.reach"), F.col("n"), F.col("lead.n")))
+    star = some.groupBy(F.col("cls").alias("b")).agg(F.slice(F.array_sort(F.collect_set(F.struct("lead.own", "lead.cls"))), 1, LEADERS).alias("leads"))
+    star = star.select(F.explode("leads.cls").alias("a"), "b")
     first = kept(overlapping(star, alive, similar), "first")
     merged = components(first, rounds=2).select(F.col("node").alias("cls"), "label")
     # candidates of different components
     listed = listed.join(merged, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    by = listed.groupBy("gram", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = (by.select("gram", F.col("label").alias(f"l{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")) for k in (1, 2))
-    num, den = similar
-    apart = x.join(y, "gram").filter((F.col("l1") < F.col("l2")) & (F.col("low1") * num <= F.col("high2") * den) & (F.col("low2") * num <= F.col("high1") * den))
-    member = lambda k, name: listed.select("gram", F.col("label").alias(f"l{k}"), F.col("cls").alias(name), F.col("n").alias(f"n{k}"))
-    rest = apart.select("gram", "l1", "l2").join(member(1, "a"), ["gram", "l1"]).join(member(2, "b"), ["gram", "l2"])
-    rest = rest.filter(close_sizes(F.col("n1"), F.col("n2"), similar)).select("a", "b").distinct()
+    by = listed.groupBy("gram", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far"))
+    x, y = (by.select("gram", F.col("label").alias(f"l{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"), F.col("far").alias(f"far{k}")) for k in (1, 2))
+    near = (F.col("low1") * num <= F.col("high2") * den) & (F.col("low2") * num <= F.col("high1") * den)
+    near &= possible(F.least("far1", "far2"), F.col("low1"), F.col("low2"))
+    apart = x.join(y, (x.gram == y.gram) & (F.col("l1") < F.col("l2")) & near).select(x.gram, "l1", "l2")
+    member = lambda k, name: listed.select("gram", F.col("label").alias(f"l{k}"), F.col("cls").alias(name), F.col("n").alias(f"n{k}"), F.col("reach").alias(f"r{k}"))
+    left = apart.join(member(1, "a"), ["gram", "l1"])
+    right = member(2, "b")
+    fits = close_sizes(F.col("n1"), F.col("n2"), similar) & possible(F.least("r1", "r2"), F.col("n1"), F.col("n2"))
+    rest = left.join(right, (left.gram == right.gram) & (left.l2 == right.l2) & fits).select("a", "b").distinct()
     second = overlapping(rest, alive, similar)
     return kept(reduce(DataFrame.unionByName, [first, second]), "links")
 
