@@ -108,8 +108,11 @@ class Segments:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def segments(col: Column, separator: np.ndarray = IS_SPACE, lower: bool = False) -> Segments:
-    """Non-empty ranges without a separator byte, of every text whole."""
+def segments(col: Column, separator: np.ndarray = IS_SPACE, lower: bool = False, breaks: np.ndarray | None = None) -> Segments:
+    """Non-empty ranges without a separator byte, of every text whole.
+
+    ``breaks`` tells of each byte whether a new range begins there in any case.
+    """
     data, offsets = col.data, col.offsets
     n = len(data)
     if lower:
@@ -119,6 +122,8 @@ def segments(col: Column, separator: np.ndarray = IS_SPACE, lower: bool = False)
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
     begins[heads] |= inside[heads]
+    if breaks is not None:
+        begins |= breaks & inside
     ends = inside
     ends[:-1] &= ~inside[1:] | begins[1:]
     start = np.flatnonzero(begins)

@@ -1,7 +1,7 @@
 """Token ids of documents, written to and read from files of patched blocks.
 
-Texts are cut at ASCII white space, where no token of a word-level model reaches across, and every
-different word is encoded once per worker's cache.  Documents are dealt into ranges of ascending
+Texts are cut at ASCII white space, where no token of a word-level model reaches across, and each
+worker remembers the ids of the words that it meets most.  Documents are dealt into ranges of ascending
 identifiers, and each range is written as one file by the task that holds it; a file's name has a
 part of its own, so a repeated task never meets an unfinished file.  The table of files gives the
 number of tokens before each of them.
@@ -9,13 +9,14 @@ number of tokens before each of them.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,69 +25,77 @@ from pyspark.sql import types as T
 from . import textcols as C
 from .blocks import Reader, Writer
 from .shared import fresh_path, kept, shuffle_width
+from .unit_cache import CACHE_UNITS, UnitCache, encode_each, encode_marked
 
 END = 1
 #: Documents for one file, about.
 FILE_DOCS = 1 << 14
-#: Different words that a worker remembers at a time.
-CACHE_WORDS = 1 << 18
+#: Goes between words that are encoded as one text.
+MARK = "\x01"
+
+
+# The normaliser and the splitting for which letters-only words have a short way.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,!?;:"]] = True
 
 
 class WordEncoder:
-    """Ids of words by a tokenizers file, remembered by the words' hashes."""
+    """Ids of words by a tokenizers file, remembered by the words' hashes.
+
+    Where the file lower-cases and splits as above, A-Z are lower-cased first, a stop after an ASCII
+    letter begins a word of its own, and words of letters in composed form skip the normaliser and
+    the pattern; all three leave the ids as they are.
+    """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        n = len(self.slot)
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.start) < n + len(found):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(found)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(found)] = size
-        self.used += len(ids)
-        self.slot.update(zip(hashes, range(n, n + len(found))))
+        shape = json.loads(self.tokenizer.to_str())
+        steps = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known = shape["normalizer"] == _NORMALISER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[1]["type"] == "ByteLevel"
+        if self.known:
+            self.short = Tokenizer.from_file(path)
+            self.short.normalizer = normalizers.Lowercase()
+            self.short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.cache = UnitCache(self._encode, cache_words)
+
+    def _encode(self, words: list[str]):
+        kind = np.full(len(words), 2)
+        if self.mark is not None:
+            for i, w in enumerate(words):
+                if self.known and (w.isascii() and w.isalpha() or w.lower().isalpha() and w.isalpha() and unicodedata.is_normalized("NFC", w)):
+                    kind[i] = 0
+                elif MARK not in w:
+                    kind[i] = 1
+        size, start, parts, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for k in range(3):
+            at = np.flatnonzero(kind == k)
+            if not len(at):
+                continue
+            some = [words[i] for i in at.tolist()]
+            ids, n = encode_marked(self.short if k == 0 else self.tokenizer, some, MARK, self.mark, " ") if k < 2 else encode_each(self.tokenizer, some)
+            size[at], start[at] = n, total + np.cumsum(n) - n
+            parts.append(ids)
+            total += len(ids)
+        return np.concatenate(parts), start, size, np.ones(len(words), bool)
 
     def encode(self, col: C.Column, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin; ``end`` follows every text."""
-        words = C.segments(col)
-        codes, uniques = pd.factorize(words.hash)
-        if len(self.slot) + len(uniques) > self.cache_words:
-            self._clear()
-        keys = uniques.tolist()
-        unknown = [i for i, h in enumerate(keys) if h not in self.slot]
-        if unknown:
-            first = np.empty(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at = first[unknown]
-            data = col.data.tobytes()
-            self._learn([keys[i] for i in unknown], [data[a:b].decode("utf-8", "replace") for a, b in zip(words.start[at].tolist(), words.end[at].tolist())])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
-        start, size = self.start[slots][codes], self.size[slots][codes]
-        first = words.first
-        flat = self.flat
-        if end is not None:  # one more word after each text
-            flat = np.append(flat[: self.used], np.uint32(end))
-            start, size = np.insert(start, first[1:], self.used), np.insert(size, first[1:], 1)
-            first = first + np.arange(len(first))
-        run = np.concatenate([[0], np.cumsum(size)])
-        return flat[np.repeat(start - run[:-1], size) + np.arange(run[-1])], run[first]
+        breaks = None
+        if self.known:
+            breaks = np.zeros(len(col.data), bool)
+            breaks[1:] = _STOP[col.data[1:]] & _LETTER[col.data[:-1]]
+        words = C.segments(col, lower=self.known, breaks=breaks)
+        return self.cache.encode(C.LOWER[col.data] if self.known else col.data, words, end)[:2]
 
 
 _ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.BinaryType())])
