@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as C
+from .unit_cache import UnitCache, encode_each, encode_marked
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -141,6 +142,80 @@ def rebuilt(model: Model):
     return t
 
 
+class PieceEncoder:
+    """Encodes and decodes whole texts unit by unit, where the model allows it.
+
+    Two characters that no piece has side by side are never in one piece, so a text may be cut
+    between them, and each unit encoded once.  A unit's flag tells whether decoding gives it back.
+    That holds for byte fallback (unknown characters don't join) and a normaliser that changes spaces
+    only; other models encode each text at once.
+    """
+
+    _MARK = "\x01"
+
+    def __init__(self, model_bytes: bytes):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.model = parse(model_bytes)
+        self.whole = rebuilt(self.model)
+        m = self.model
+        by_unit = m.byte_fallback and m.escape and m.dummy_prefix and not (m.charsmap or m.squeeze or m.whitespace_suffix or any(p[2] == USER for p in m.pieces))
+        self.cache = None
+        if by_unit:
+            pairs = np.zeros((128, 128), bool)  # that some piece has
+            for p, _, kind in m.pieces:
+                if kind == NORMAL:
+                    for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:]):
+                        if ord(a) < 128 and ord(b) < 128:
+                            pairs[ord(a), ord(b)] = True
+            self.apart = np.zeros((256, 256), bool)
+            self.apart[:128, :128] = ~pairs
+            self.bare = rebuilt(m)
+            self.bare.normalizer = normalizers.Replace(" ", MARK)
+            self.bare.pre_tokenizer = pre_tokenizers.Split(self._MARK, "isolated")
+            mark = self.bare.encode(self._MARK, add_special_tokens=False).ids
+            if len(mark) == 1 and not any(self._MARK in p and len(p) > 1 for p, _, _ in m.pieces):
+                self.mark = mark[0]
+                self.cache = UnitCache(self._encode)
+
+    def _encode(self, units: list[str]):
+        odd = np.array([self._MARK in u or MARK in u for u in units])
+        ids, size, start = [], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        total = 0
+        for part, at in ((False, np.flatnonzero(~odd)), (True, np.flatnonzero(odd))):
+            if len(at):
+                some = [units[i] for i in at.tolist()]
+                got, n = encode_each(self.bare, some) if part else encode_marked(self.bare, some, self._MARK, self.mark, "")
+                size[at], start[at] = n, total + np.cumsum(n) - n
+                ids.append(got)
+                total += len(got)
+        flat = np.concatenate(ids)
+        many = [flat[a : a + n].tolist() for a, n in zip(start.tolist(), size.tolist())]
+        back = self.whole.decoder
+        names = self.model.pieces
+        # the decoder drops one leading space, so a unit is decoded behind one
+        good = [back.decode([MARK, *(names[i][0] for i in x)]) == u.replace(MARK, " ") for x, u in zip(many, units)]
+        return flat, start, size, np.array(good, bool)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where each text's begin, and whether decoding gives each normalised text back."""
+        if self.cache is None:
+            some = texts.fill_null("").to_pylist()
+            ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+            back = self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            first = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            return np.concatenate(ids or [np.zeros(0, np.uint32)]), first, np.array([b == _plain(self.whole, self.model, s) for b, s in zip(back, some)], bool)
+        col = C.column(texts)
+        n = np.diff(col.offsets)
+        shift = np.cumsum(n > 0)  # the dummy prefix: a space before each text that has one character
+        data = np.insert(col.data, col.offsets[:-1][n > 0], 0x20)
+        padded = C.Column(data, col.offsets + np.concatenate([[0], shift]), col.null)
+        breaks = np.zeros(len(data), bool)
+        breaks[1:] = self.apart[data[:-1], data[1:]]
+        units = C.segments(padded, np.zeros(256, bool), breaks=breaks)
+        return self.cache.encode(data, units)
+
+
 PROBES = (
     "", " ", "a", "  two  spaces ", "line\nbreak\ttab", "größe señal été", "你好 \U0001f600", "aaaaaaaa bbbb", "x" * 300,
     "It's 3.14, isn't it? (no)", "Thnt eringing onheed, with erenenst thaner.",
@@ -184,26 +259,21 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     out = T.StructType([f for f in _OUT if (with_ids or f.name != "ids") and (with_text or f.name != "decoded")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = parse(model.value)
-        t = rebuilt(m)
+        coder = PieceEncoder(model.value)
         for batch in batches:
-            whole = C.column(batch.column(1))
-            texts = batch.column(1).fill_null("")
-            for lo, hi in C.slices(whole, 1 << 20):
-                some = texts.slice(lo, hi - lo).to_pylist()
-                ids = [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
-                back = t.decode_batch(ids, skip_special_tokens=False)
-                same = [b == _plain(t, m, s) for b, s in zip(back, some)]
+            for lo, hi in C.slices(C.column(batch.column(1))):
+                flat, first, same = coder.encode(batch.column(1).slice(lo, hi - lo))
+                raw = flat.astype("<i4")
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(raw))
                 columns = {
                     "doc_id": batch.column(0).slice(lo, hi - lo),
-                    "n_pieces": pa.array(map(len, ids), pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(np.array(x, "<i4").tobytes()) for x in ids], pa.int64()),
-                    "round_trip": pa.array(same, pa.bool_()),
+                    "n_pieces": pa.array(np.diff(first)),
+                    "ids": lists,
+                    "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(first[:-1], first[1:])], pa.int64()),
+                    "round_trip": pa.array(same),
                 }
-                if with_ids:
-                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
                 if with_text:
-                    columns["decoded"] = pa.array(back, pa.string())
+                    columns["decoded"] = pa.array(coder.whole.decode_batch(lists.to_pylist(), skip_special_tokens=False), pa.string())
                 yield pa.RecordBatch.from_arrays([columns[c] for c in out.names], names=out.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
