@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, pieces, quality, secrets, token_ids, toxicity
+from . import exact_dedup, jaccard, lm_score, mixing, pieces, quality, secrets, token_ids, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), piece_model(), with_ids=False, with_text=False)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(documents(spark, sf_dir))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op7_lm_score": op7_lm_score, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
