@@ -301,6 +301,15 @@ def digest_columns(groups: DataFrame) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns: of equal texts the one with the smallest identifier, once."""
+    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.lower(F.hex("text_digest")).alias("_digest"))
+    own = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
+    rows = docs.withColumn("_own", own)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    return rows.join(stay, same, "left_semi").dropDuplicates([id_col, "_own"]).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

@@ -359,3 +359,13 @@ def near_duplicates(
     classes = classes.join(names, "label").select("cls", "component_id")
     out = per_doc.join(classes, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Rows of ``docs``, all columns, whose identifier is its component's smallest.
+
+    Rows that share an identifier stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, similar)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")

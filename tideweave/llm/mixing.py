@@ -128,6 +128,23 @@ def systematic(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """Rows of ``docs``, all columns, each as often as the mix holds it.
+
+    Rows equal in identifier, source and size share their copies, the earlier texts first.
+    """
+    keys = {"_id": F.col(id_col).cast("long"), "_source": F.col(source_col), "_size": word_count(F.col(text_col))}
+    mixed = mix(docs, id_col, text_col, source_col, seed, weights, most)
+    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    mixed = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    rows = docs.withColumns(keys).join(mixed, same)
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(text_col))
+    own = F.floor(F.col("_copies") / F.col("_rows")) + (turn <= F.col("_copies") % F.col("_rows")).cast("long")
+    rows = rows.withColumn("_own", own.cast("int")).filter("_own > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), "_own"))).select(*docs.columns)
+
+
 def oracle_sql(seed: int = 17, weights=WEIGHTS, most: int = MOST_COPIES) -> str:
     """The same in DuckDB, ranks taken over each whole source."""
     return f"""

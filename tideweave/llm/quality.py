@@ -122,6 +122,14 @@ SCHEMA = T.StructType(
 )
 
 
+def verdicts(model: Linear, col: C.Column) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Counts, whether a base rule rejects, and the probability of good quality of each text."""
+    words = C.segments(col)
+    c = counts(col, words)
+    failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
+    return c, failed, model.probability(scores(model, col, words))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per input row: doc_id, counts, base_failed, probability, kept.
 
@@ -133,16 +141,27 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))  # 1 MB, fixed
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
             whole = C.column(batch.column(1))
             for lo, hi in C.slices(whole):
-                col = whole.part(lo, hi)
-                words = C.segments(col)
-                c = counts(col, words)
-                failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
-                p = m.probability(scores(m, col, words))
+                c, failed, p = verdicts(model.value, whole.part(lo, hi))
                 columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(c[x], pa.int64()) for x in SCHEMA.names[1:6]), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
 
     return docs.mapInArrow(work, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Rows of ``docs``, all columns, that :func:`judge` keeps; nothing is joined or shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, train_rows))
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = C.column(batch.column(at))
+            for lo, hi in C.slices(whole):
+                _, failed, p = verdicts(model.value, whole.part(lo, hi))
+                yield batch.slice(lo, hi - lo).filter(pa.array(~failed & (p >= threshold)))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -58,8 +58,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op7_lm_score": op7_lm_score, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_secret_scan": op4_secret_scan, "op5_source_mix": op5_source_mix, "op6_token_blocks": op6_token_blocks, "op7_lm_score": op7_lm_score, "op8_sentence_pieces": op8_sentence_pieces, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_toxicity": op10_toxicity, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
