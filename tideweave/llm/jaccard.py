@@ -322,12 +322,14 @@ def links(docs: DataFrame, per_doc: DataFrame, width: int, similar: tuple[int, i
     x, y = (by.select("gram", F.col("label").alias(f"l{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"), F.col("far").alias(f"far{k}")) for k in (1, 2))
     near = (F.col("low1") * num <= F.col("high2") * den) & (F.col("low2") * num <= F.col("high1") * den)
     near &= possible(F.least("far1", "far2"), F.col("low1"), F.col("low2"))
-    apart = x.join(y, (x.gram == y.gram) & (F.col("l1") < F.col("l2")) & near).select(x.gram, "l1", "l2")
-    member = lambda k, name: listed.select("gram", F.col("label").alias(f"l{k}"), F.col("cls").alias(name), F.col("n").alias(f"n{k}"), F.col("reach").alias(f"r{k}"))
-    left = apart.join(member(1, "a"), ["gram", "l1"])
+    apart = x.join(y, (x.gram == y.gram) & (F.col("l1") < F.col("l2")) & near).select(x.gram, "l1", "l2", "low2", "high2", "far2")
+    member = lambda k, name: listed.select(F.col("gram").alias(f"g{k}"), F.col("label").alias(f"m{k}"), F.col("cls").alias(name), F.col("n").alias(f"n{k}"), F.col("reach").alias(f"r{k}"))
+    # only members that someone of the other component can be close to
+    useful = (F.col("n1") * num <= F.col("high2") * den) & (F.col("low2") * num <= F.col("n1") * den) & possible(F.least("r1", "far2"), F.col("n1"), F.col("low2"))
+    left = apart.join(member(1, "a"), (F.col("gram") == F.col("g1")) & (F.col("l1") == F.col("m1")) & useful)
     right = member(2, "b")
     fits = close_sizes(F.col("n1"), F.col("n2"), similar) & possible(F.least("r1", "r2"), F.col("n1"), F.col("n2"))
-    rest = left.join(right, (left.gram == right.gram) & (left.l2 == right.l2) & fits).select("a", "b").distinct()
+    rest = left.join(right, (F.col("gram") == F.col("g2")) & (F.col("l2") == F.col("m2")) & fits).select("a", "b").distinct()
     second = overlapping(rest, alive, similar)
     return kept(reduce(DataFrame.unionByName, [first, second]), "links")
 
