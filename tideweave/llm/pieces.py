@@ -24,6 +24,9 @@ from . import textcols as C
 from .unit_cache import UnitCache, encode_each, encode_marked
 
 MARK = "▁"
+#: Units that a worker remembers, and bytes of text that it takes at a time.
+CACHE_UNITS = 1 << 18
+TAKEN = 1 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -176,7 +179,7 @@ class PieceEncoder:
             mark = self.bare.encode(self._MARK, add_special_tokens=False).ids
             if len(mark) == 1 and not any(self._MARK in p and len(p) > 1 for p, _, _ in m.pieces):
                 self.mark = mark[0]
-                self.cache = UnitCache(self._encode)
+                self.cache = UnitCache(self._encode, CACHE_UNITS)
 
     def _encode(self, units: list[str]):
         odd = np.array([self._MARK in u or MARK in u for u in units])
@@ -261,7 +264,7 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder(model.value)
         for batch in batches:
-            for lo, hi in C.slices(C.column(batch.column(1))):
+            for lo, hi in C.slices(C.column(batch.column(1)), TAKEN):
                 flat, first, same = coder.encode(batch.column(1).slice(lo, hi - lo))
                 raw = flat.astype("<i4")
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(raw))
