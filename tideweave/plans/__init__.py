@@ -1,0 +1,4 @@
+"""Queries over the example tables; importing a module registers its queries."""
+
+from . import graph_queries, prep_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
