@@ -82,7 +82,7 @@ def column(array: pa.Array) -> Column:
     return Column(data, offsets - offsets[0], null)
 
 
-def slices(col: Column, most_bytes: int = 4 * WINDOW) -> Iterator[tuple[int, int]]:
+def slices(col: Column, most_bytes: int = 2 * WINDOW) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most_bytes`` of text each; a longer text is a range of its own."""
     lo, n = 0, len(col)
     while lo < n:
