@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import kept, shuffle_width
+from .shared import kept, shuffle_width, tidy
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
@@ -143,7 +143,7 @@ def flushed_runs(docs: DataFrame, ranges: int, memtable_bytes: int = MEMTABLE_BY
         if table.held:
             yield table.flush(f"{part}.{k}", ranges)
 
-    return docs.mapInArrow(work, RUNS)
+    return docs.mapInArrow(tidy(work), RUNS)
 
 
 class Level:
@@ -257,7 +257,7 @@ def verified(docs: DataFrame, found: DataFrame, digest=sha256) -> DataFrame:
     texts = wanted(docs, found).select(F.col("doc_id").alias("_id"), "text").join(found, F.col("_id").eqNullSafe(F.col("leader_id")))
     texts = texts.select("digest", "run", "leader_id", "n", "text")
     order = ["digest", F.col("leader_id").asc_nulls_last(), "run"]
-    rows = texts.repartition("digest").sortWithinPartitions(*order).mapInArrow(work, schema)
+    rows = texts.repartition("digest").sortWithinPartitions(*order).mapInArrow(tidy(work), schema)
     group = Window.partitionBy("keep_run", "keep_id")
     return rows.select("run", "leader_id", "keep_id", "keep_run", F.sum("n").over(group).alias("group_size"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .components import components
-from .shared import kept, shuffle_width
+from .shared import kept, shuffle_width, tidy
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -88,7 +88,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
                 cls = [class_of(g) if len(g) else None for g in grams]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(g) for g in grams], pa.int64()), pa.array(cls, pa.int64())], names=_SETS.names)
 
-    return docs.mapInArrow(work, _SETS)
+    return docs.mapInArrow(tidy(work), _SETS)
 
 
 _PACKED = T.StructType(
@@ -158,7 +158,7 @@ def packed(docs: DataFrame, width: int, fragments: int) -> DataFrame:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_PACKED.names)
 
-    return docs.mapInArrow(work, _PACKED)
+    return docs.mapInArrow(tidy(work), _PACKED)
 
 
 _SHARED = T.StructType([T.StructField("bucket", T.IntegerType()), *_PACKED.fields[1:]])

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as C
+from .shared import tidy
 
 # Statements by which texts name their licence.
 TEMPLATES = {
@@ -231,7 +232,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(lines.first)), pa.array(found, kinds)], names=_OUT.names)
 
-    return docs.mapInArrow(work, _OUT)
+    return docs.mapInArrow(tidy(work), _OUT)
 
 
 def digest(found: DataFrame) -> DataFrame:

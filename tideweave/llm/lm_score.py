@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import bit_mixer as M
 from . import textcols as C
-from .shared import kept, shuffle_width
+from .shared import kept, shuffle_width, tidy
 
 #: One of so many parts of the rows, by crc32 of the identifier as text, is never learnt from.
 FOLDS, HELD_OUT = 7, 2
@@ -135,7 +135,7 @@ def slices(docs: DataFrame, fragments: int, slice_bytes: int) -> DataFrame:
                 yield _batch([slice_row(f"{part}.{k}", batch.column(0).slice(lo, hi - lo), held[lo:hi], whole.part(lo, hi), fragments)], _SLICES)
                 k += 1
 
-    return docs.mapInArrow(work, _SLICES)
+    return docs.mapInArrow(tidy(work), _SLICES)
 
 
 class Fragment:
@@ -213,7 +213,7 @@ def train(requests: DataFrame, groups: int) -> M.Mixer:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["counts"].to_pylist())
         return _table([(table["chunk"][0].as_py(), total.astype(np.float32).tobytes())], _COUNTS)
 
-    sums = sorted((r.chunk, r.counts) for r in dealt.mapInArrow(count, _COUNTS).groupBy("chunk").applyInArrow(add, _COUNTS).collect())
+    sums = sorted((r.chunk, r.counts) for r in dealt.mapInArrow(tidy(count), _COUNTS).groupBy("chunk").applyInArrow(add, _COUNTS).collect())
     if not sums:
         return M.Mixer.start()
     model = M.Mixer.start(np.concatenate([np.frombuffer(x, np.float32) for _, x in sums]).reshape(2, -1))
@@ -229,7 +229,7 @@ def train(requests: DataFrame, groups: int) -> M.Mixer:
             yield _batch([(mass, own.weights.tobytes(), own.refine.tobytes())], _LEARNT)
 
     # one row for each group of fragments, 26 KB
-    rows = sorted(dealt.mapInArrow(learn, _LEARNT).collect(), key=lambda r: (r.mass, bytes(r.weights)))
+    rows = sorted(dealt.mapInArrow(tidy(learn), _LEARNT).collect(), key=lambda r: (r.mass, bytes(r.weights)))
     model.weights, model.refine = M.averaged([(r.mass, np.frombuffer(r.weights).reshape(model.weights.shape), np.frombuffer(r.refine).reshape(model.refine.shape)) for r in rows])
     return model
 

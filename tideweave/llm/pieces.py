@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as C
+from .shared import tidy
 from .unit_cache import UnitCache, encode_each, encode_marked
 
 MARK = "▁"
 #: Units that a worker remembers, and bytes of text that it takes at a time.
-CACHE_UNITS = 1 << 18
+CACHE_UNITS = 1 << 17
 TAKEN = 1 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -157,7 +158,8 @@ class PieceEncoder:
     _MARK = "\x01"
 
     def __init__(self, model_bytes: bytes):
-        from tokenizers import Regex, normalizers, pre_tokenizers
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # for one task; each thread has a cache of its own
+        from tokenizers import normalizers, pre_tokenizers
 
         self.model = parse(model_bytes)
         self.whole = rebuilt(self.model)
@@ -280,7 +282,7 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([columns[c] for c in out.names], names=out.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, out)
+    return rows.mapInArrow(tidy(work), out)
 
 
 def _plain(tokenizer, model: Model, text: str) -> str:

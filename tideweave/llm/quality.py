@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .linear import Linear, Rows, fit
+from .shared import tidy
 
 BITS = 18
 #: Labelled rows that the classifier may learn from: those with the smallest hashes of doc_id.
@@ -148,7 +149,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 columns = [batch.column(0).slice(lo, hi - lo), *(pa.array(c[x], pa.int64()) for x in SCHEMA.names[1:6]), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
 
-    return docs.mapInArrow(work, SCHEMA)
+    return docs.mapInArrow(tidy(work), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -164,4 +165,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 _, failed, p = verdicts(model.value, whole.part(lo, hi))
                 yield batch.slice(lo, hi - lo).filter(pa.array(~failed & (p >= threshold)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .blocks import Reader, Writer
-from .shared import fresh_path, kept, shuffle_width
+from .shared import fresh_path, kept, shuffle_width, tidy
 from .unit_cache import CACHE_UNITS, UnitCache, encode_each, encode_marked
 
 END = 1
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), blobs], names=_ENCODED.names)
 
-    return docs.mapInArrow(work, _ENCODED)
+    return docs.mapInArrow(tidy(work), _ENCODED)
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
@@ -167,7 +167,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END,
         if out:
             yield done()
 
-    return kept(rows.mapInArrow(work, _FILES), "files")
+    return kept(rows.mapInArrow(tidy(work), _FILES), "files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 columns = [pa.array(reader.doc_ids, mask=reader.null), pa.array(reader.first[:-1] + base), pa.array(reader.sizes), pa.array(crc)]
                 yield pa.RecordBatch.from_arrays(columns, names=_READ.names)
 
-    return files.mapInArrow(work, _READ)
+    return files.mapInArrow(tidy(work), _READ)
 
 
 def token_ids(docs: DataFrame, path: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from . import textcols as C
 from .gru import Network, Trainer, Words, windows, words_of
 from .linear import platt, sigmoid
+from .shared import tidy
 
 #: Labelled rows (toxic, others) that the network may learn from: those with the smallest hashes.
 TRAIN_ROWS = (1500, 2500)
@@ -146,4 +147,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(columns, names=_OUT.names)
 
     held = (fold(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(work, _OUT)
+    return docs.select("doc_id", held, "text").mapInArrow(tidy(work), _OUT)
