@@ -33,7 +33,7 @@ def adjacency(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered by their place in the file, so the file must be one split.
     """
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     lines = rows.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "line"))
     cells = lines.select((F.col("i") + 1).alias("src"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("j", "x"))
     return cells.filter(F.col("x").try_cast("double") != 0).select("src", (F.col("j") + 1).alias("dst"))
