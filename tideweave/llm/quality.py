@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .linear import Linear, Rows, fit
-from .shared import tidy
+from .shared import give_back, tidy
 
 BITS = 18
 #: Labelled rows that the classifier may learn from: those with the smallest hashes of doc_id.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 #: Least calibrated probability of good quality.
 THRESHOLD = 0.5
 #: Base rules: fewer words, or a larger share of words in repeated windows, reject.
@@ -101,10 +101,10 @@ def features(texts: pa.Array) -> Rows:
         chars, _ = _char_slots(one)
         parts = [np.unique(s, return_counts=True) for s in (slots, pairs, chars)]
         idx += [p[0] for p in parts]
-        val += [p[1] / max(p[1].sum(), 1) for p in parts]
+        val += [(p[1] / max(p[1].sum(), 1)).astype(np.float32) for p in parts]
         n.append(sum(len(p[0]) for p in parts))
     empty = [np.zeros(0, np.int32)]
-    return Rows(np.concatenate(idx or empty), np.concatenate(val or empty).astype(np.float32), np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
+    return Rows(np.concatenate(idx or empty), np.concatenate(val or [np.zeros(0, np.float32)]), np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Linear:
@@ -113,7 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Linear:
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     table = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(features(table["text"].combine_chunks()), table["quality"].to_numpy().astype(np.float64), _LENGTH)
+    model = fit(features(table["text"].combine_chunks()), table["quality"].to_numpy().astype(np.float64), _LENGTH)
+    del table
+    give_back()
+    return model
 
 
 SCHEMA = T.StructType(

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import textcols as C
 from .gru import Network, Trainer, Words, windows, words_of
 from .linear import platt, sigmoid
-from .shared import tidy
+from .shared import give_back, tidy
 
 #: Labelled rows (toxic, others) that the network may learn from: those with the smallest hashes.
 TRAIN_ROWS = (1500, 2500)
@@ -119,7 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS
     share = some.agg(F.avg("toxic")).first()[0]
     table = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    return fit(table["text"].combine_chunks(), table["toxic"].to_numpy().astype(np.float64), share, epochs)
+    model = fit(table["text"].combine_chunks(), table["toxic"].to_numpy().astype(np.float64), share, epochs)
+    del table
+    give_back()
+    return model
 
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
