@@ -44,6 +44,7 @@ UNNAMED = (
     "all rights reserved no part may be copied without permission of the owner", "licensed under the terms of the vendor agreement",
     "released under our own license see the file for terms", "use of this work is governed by the site license",
     "this content is licensed to subscribers only", "licensed under the open widget license version 4", "proprietary license do not distribute",
+    "all rights reserved", "licensed under the widget public license", "released under the widget license", "distributed under the terms of the widget license",
 )
 PROSE = (
     "the driver lost his license after the accident", "apache helicopters flew over the general public", "version 2 0 of the report was released in january",
@@ -56,6 +57,8 @@ FILLER = (FILLER + "der die das und von mit en la le les des un une que el los l
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = (NONE, UNKNOWN, *TEMPLATES)
 BITS = 16
+#: Training paragraphs that an n-gram must be in to count.
+LEAST_PARAGRAPHS = 3
 GRAMS = (1, 2, 3)
 #: Least calibrated probability that a paragraph states a licence.
 THRESHOLD = 0.5
@@ -71,21 +74,30 @@ SEPARATOR[0x30:0x3A] = SEPARATOR[0x41:0x5B] = SEPARATOR[0x61:0x7B] = SEPARATOR[0
 class Model:
     weights: np.ndarray  # (slots, classes)
     bias: np.ndarray
-    used: np.ndarray  # slots that training met
+    used: np.ndarray  # slots that count
     templates: list[tuple[int, np.ndarray]]  # class, word hashes in order
     temperature: float = 1.0
 
 
-def _slots(words: C.Segments) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Slots of n-grams and their first words, for each n."""
-    shift = np.uint64(64 - BITS)
-    return [((h >> shift).astype(np.int32), at) for h, at in (C.windows(words, n) for n in GRAMS)]
-
-
 def _words(texts: list[str]) -> C.Segments:
     return C.segments(C.column(pa.array(texts, pa.string())), SEPARATOR, lower=True)
 
 
+_COMMON = np.unique(_words([" ".join(FILLER)]).hash)
+
+
+def _slots(words: C.Segments) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of n-grams and their first words, for each n; n-grams of common words only are left out."""
+    shift = np.uint64(64 - BITS)
+    telling = np.concatenate([[0], np.cumsum(~np.isin(words.hash, _COMMON))])
+    out = []
+    for n in GRAMS:
+        hashes, at = C.windows(words, n)
+        some = telling[at + n] > telling[at]
+        out.append(((hashes[some] >> shift).astype(np.int32), at[some]))
+    return out
+
+
 def samples(seed: int = 1, each: int = 60) -> tuple[list[str], np.ndarray]:
     """Labelled paragraphs: templates with words before and behind, others' statements, prose."""
     r = random.Random(seed)
@@ -99,6 +111,7 @@ def samples(seed: int = 1, each: int = 60) -> tuple[list[str], np.ndarray]:
         for i in range(3 * each):
             line = lines[i % len(lines)].split()
             cut = r.randint(0, 2) if label == NONE else 0
+            line = ["".join(r.choice("aeioubdfglmnrst") for _ in range(r.randint(3, 9))) if w == "widget" else w for w in line]
             texts.append(f"{pad(8)} {' '.join(line[cut:])} {pad(12)}")
             y.append(CLASSES.index(label))
     for _ in range(20 * each):  # common words among words that no statement has
@@ -137,7 +150,11 @@ def train(seed: int = 1, epochs: int = 40, rate: float = 0.5, penalty: float = 1
     doc = words.doc()
     rows = [(slots, doc[at]) for slots, at in _slots(words)]
     slot, of = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
-    model.used[slot] = True
+    # n-grams of a paragraph or two say nothing about others
+    pair = np.unique(slot.astype(np.int64) * len(learn) + of)
+    model.used = np.bincount(pair // len(learn), minlength=1 << BITS) >= LEAST_PARAGRAPHS
+    stay = model.used[slot]
+    slot, of = slot[stay], of[stay]
     seen = np.full(model.weights.shape, 1e-6, np.float32)
     target = np.eye(len(CLASSES))[y[learn]]
     for _ in range(epochs):
@@ -206,11 +223,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        plain = _words([" ".join(FILLER)])
-        common = np.isin(np.arange(1 << BITS), _slots(plain)[0][0])
         telling = np.zeros(1 << BITS, bool)
         telling[_slots(_words([" ".join((*UNNAMED, *(x for lines in TEMPLATES.values() for x in lines)))]))[0][0]] = True
-        telling &= ~common
         for batch in batches:
             whole = C.column(batch.column(1))
             for lo, hi in C.slices(whole):
@@ -219,7 +233,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 # words of lines: cut at all separators, line ends among them
                 words = C.segments(col, SEPARATOR, lower=True)
                 line = np.searchsorted(lines.start, words.start, "right") - 1
-                hits = np.bincount(line[telling[_slots(words)[0][0]]], minlength=len(lines)) if len(words) else np.zeros(len(lines), np.int64)
+                slots, at = _slots(words)[0]
+                hits = np.bincount(line[at[telling[slots]]], minlength=len(lines))
                 by_line = C.Segments(words.start, words.end, words.hash, np.searchsorted(line, np.arange(len(lines) + 1)))
                 ask = np.flatnonzero(hits >= 2)
                 kind, p = classify(m, by_line, ask) if len(ask) else (np.zeros(0, np.int64), np.zeros(0))
