@@ -18,10 +18,12 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Targets stop at so many times the size of their source.
 MOST_COPIES = 3
 #: Rows that a block of one source holds on average, at most.
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 12
 WEIGHTS = (1, 2, 3)
 
 
@@ -91,6 +93,7 @@ def mix(
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
+    sized = kept(sized, "sized")  # texts are read once; ids, sources and sizes are small
     return systematic(sized, source_targets(sized, weights, most), seed)
 
 
