@@ -99,22 +99,18 @@ edges AS (SELECT src, dst, weight FROM total WHERE weight > (SELECT quantile_con
 )
 
 
-def memberships(spark: SparkSession, folder: str, least: int = 3) -> DataFrame:
-    """half, node, community: users belong to the event types that they have ``least`` events of in a half month."""
+def memberships(spark: SparkSession, folder: str) -> DataFrame:
+    """half, node, community: users belong to the event types that they have more events of in a half month than the mean user."""
     events = table(spark, folder, "events")
     half = F.when(F.dayofmonth("ts") <= 15, 1).otherwise(2)
-    return (
-        events.groupBy(half.alias("half"), F.col("user_id").alias("node"), F.col("event_type").alias("community"))
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= least)
-        .drop("n")
-    )
+    n = events.groupBy(half.alias("half"), F.col("user_id").alias("node"), F.col("event_type").alias("community")).agg(F.count("*").alias("n"))
+    mean = n.groupBy("half", "community").agg(F.avg("n").alias("mean"))
+    return n.join(mean, ["half", "community"]).filter("n > mean").select("half", "node", "community")
 
 
 MEMBERSHIPS = """
-memberships AS (
-  SELECT CASE WHEN day(ts) <= 15 THEN 1 ELSE 2 END AS half, user_id AS node, event_type AS community
-  FROM events GROUP BY ALL HAVING count(*) >= 3)"""
+counted AS (SELECT CASE WHEN day(ts) <= 15 THEN 1 ELSE 2 END AS half, user_id AS node, event_type AS community, count(*) AS n FROM events GROUP BY ALL),
+memberships AS (SELECT half, node, community FROM (SELECT *, avg(n) OVER (PARTITION BY half, community) AS mean FROM counted) WHERE n > mean)"""
 
 
 def covariates(spark: SparkSession, folder: str, dims: int = 4) -> DataFrame:
