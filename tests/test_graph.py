@@ -74,3 +74,9 @@ def test_label_propagation_stays_in_parts(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (10, 11), (11, 12), (10, 12)], "src int, dst int")
     got = {r.node: r.label for r in paths.label_propagation(e).collect()}
     assert {got[k] for k in (1, 2, 3)}.isdisjoint({got[k] for k in (10, 11, 12)})
+
+
+def test_connected_parts(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src int, dst int")
+    got = {r.node: r.label for r in paths.connected(e).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == 100

@@ -1,7 +1,7 @@
 import numpy as np
 
 from tideweave.operators import affiliation as A
-from tideweave.operators import pareto, partition, series
+from tideweave.operators import pareto, partition, series, studies
 from tideweave.operators.quality import threshold
 
 
@@ -104,3 +104,31 @@ def test_distribution_tails():
 def test_fronts():
     p = np.array([[1, 5], [2, 2], [5, 1], [3, 3], [2, 2], [6, 6]], float)
     assert pareto.front_numbers(p).tolist() == [1, 1, 1, 2, 1, 3]
+
+
+def test_detectors_find_planted_groups():
+    src, dst, members, *_ = planted()
+    a = (partition.adjacency(100, src, dst) > 0).astype(float)
+    main = np.abs(members).argmax(1)
+    u, v = np.nonzero(np.triu(a[:30, :30]))
+    for labels in (studies.fast_greedy(a), studies.leading_eigenvector(a), studies.walk_clusters(a, 3)):
+        assert studies.rand_index(main, labels) > 0.5
+        assert studies.modularity(a, labels) > 0.2
+    assert studies.modularity(a[:30, :30], studies.edge_betweenness(30, u, v)) > 0.1
+
+
+def test_linkage_surprise_and_power_law():
+    p = np.array([0.0, 0.1, 0.2, 5.0, 5.1])
+    assert studies.linkage_cut(abs(p[:, None] - p), height=1.0).tolist() == [0, 0, 0, 1, 1]
+    assert studies.rand_index(np.array([0, 0, 1, 1]), np.array([1, 1, 0, 0])) == 1.0
+    # 3 of 3 edges inside, 2 of 6 pairs inside can't be; by hand: 4 nodes, 2 edges, 2 inner pairs, 2 inside
+    assert abs(studies.surprise(4, 2, 2, 2) - np.log10(15)) < 1e-9
+    r = np.random.default_rng(0)
+    d = np.floor(0.5 + (1 - r.random(3000)) ** (-1 / 1.5) * 0.5 + 0.5)
+    assert 2.0 < studies.power_law(d, draws=5)[0] < 3.2
+
+
+def test_fuzzy_means():
+    x = np.concatenate([np.zeros((10, 2)), np.full((10, 2), 5.0)]) + np.random.default_rng(0).normal(0, 0.1, (20, 2))
+    u = studies.fuzzy_means(x, 2)
+    assert abs(u.sum(1) - 1).max() < 1e-9 and len(set(u[:10].argmax(1))) == 1 and u[0].argmax() != u[-1].argmax()

@@ -36,3 +36,10 @@ def test_runs_by_file_name(spark, tmp_path):
         spark.range(i).write.parquet(str(tmp_path / f"sim{i}.parquet"))
     got = readers.runs_in(spark, str(tmp_path / "sim*.parquet"), "id long")
     assert got.count() == 15
+
+
+def test_gml(spark, tmp_path):
+    (tmp_path / "g.gml").write_text('graph [ directed 0\n node [ id 1 label "a" ]\n node [ id 2 label "b" ]\n edge [ source 1 target 2 weight 2.5 ]\n edge [ source 2 target 1 ] ]')
+    nodes, edges = readers.gml(spark, str(tmp_path / "g.gml"))
+    assert [tuple(r) for r in nodes.collect()] == [(1, "a"), (2, "b")]
+    assert [tuple(r) for r in edges.collect()] == [(1, 2, 2.5), (2, 1, None)]

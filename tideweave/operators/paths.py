@@ -131,3 +131,17 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
         labels = settled(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("node", "b.label"))
     return labels
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node reachable in either direction; labels halve their way each round."""
+    both = settled(both_ways(edges).distinct())
+    labels = settled(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        least = labels.join(near, "node").select("node", F.least("label", "near").alias("least"))
+        far = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
+        new = settled(least.join(far, "least").select("node", F.least("least", "far").alias("label")))
+        if not new.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count():
+            return new
+        labels = new

@@ -246,6 +246,19 @@ def containment(members: DataFrame) -> DataFrame:
     return both.join(n, "a").select("a", "b", (F.col("k") / F.col("n")).alias("share"))
 
 
+def merged(members: DataFrame, share: float = 0.7) -> DataFrame:
+    """Communities joined where one holds more than a share of another; chains join all together.
+
+    Only counts of common nodes are compared, so the work is in pairs of communities, not in nodes.
+    """
+    from .paths import connected
+
+    pairs = containment(members).filter(F.col("share") > share).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    names = connected(pairs).withColumnRenamed("node", "community")
+    rows = members.join(F.broadcast(names), "community", "left")
+    return rows.select("node", F.coalesce("label", "community").alias("community")).distinct()
+
+
 def block_loglik(edges: DataFrame, blocks: DataFrame, corrected: bool = False) -> DataFrame:
     """One row: log-likelihood of a block model, sum of m_rs log(m_rs / (n_r n_s)) over both orders.
 

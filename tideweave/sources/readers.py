@@ -75,3 +75,13 @@ def runs_in(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 def counts_of_json(cell: Column) -> Column:
     """A map of counts from a JSON object in a cell."""
     return F.from_json(cell, "map<string,int>")
+
+
+def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label) and edges (src, dst, weight) of a GML file without nested values in them."""
+    text = spark.read.text(path, wholetext=True)
+    block = lambda name: F.explode(F.regexp_extract_all("value", F.lit(name + r"\s*\[([^\[\]]*)\]"), F.lit(1)))
+    number = lambda c, key: F.regexp_extract(c, rf"(?:^|\s){key}\s+(-?[\d.]+)", 1)
+    nodes = text.select(block("node").alias("b")).select(number("b", "id").cast("long").alias("id"), F.nullif(F.regexp_extract("b", r'label\s+"([^"]*)"', 1), F.lit("")).alias("label"))
+    edges = text.select(block("edge").alias("b")).select(number("b", "source").cast("long").alias("src"), number("b", "target").cast("long").alias("dst"), number("b", "(?:weight|value)").try_cast("double").alias("weight"))
+    return nodes, edges
