@@ -76,6 +76,14 @@ def windows(code: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray,
     return padded[np.where(inside, at, len(code))], doc
 
 
+def row_sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different indices and the sums of their rows of values."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    heads = np.flatnonzero(np.append(True, index[1:] != index[:-1])[: len(index)])
+    return index[heads], np.add.reduceat(values[order], heads, axis=0) if len(heads) else values[:0]
+
+
 class Network:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
@@ -149,7 +157,7 @@ class Network:
         for k, d in enumerate("fb"):
             u = p[f"u{d}"]
             dh = np.zeros((len(index), HIDDEN), np.float32)
-            dgates = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            places, parts = [], []
             g[f"u{d}"], g[f"b{d}"] = np.zeros_like(u), np.zeros(3 * HIDDEN, np.float32)
             for t, h, z, r, n, hun in reversed(tape[d]):
                 dh = dh + ds[:, t, k * HIDDEN : (k + 1) * HIDDEN]
@@ -161,8 +169,12 @@ class Network:
                 by_h = np.concatenate([dz, dr, dn * r], axis=1)
                 g[f"u{d}"] += h.T @ by_h
                 g[f"b{d}"] += pre.sum(0)
-                np.add.at(dgates, index[:, t], pre)
+                places.append(index[:, t])
+                parts.append(pre)
                 dh = np.where(m, dh * z + by_h @ u.T, dh)
+            dgates = np.zeros((len(x), 3 * HIDDEN), x.dtype)
+            at, total = row_sums(np.concatenate(places), np.concatenate(parts))
+            dgates[at] = total
             dgates[-1] = 0  # padding
             g[f"w{d}"] = x.T @ dgates
             dx += dgates @ p[f"w{d}"].T
@@ -201,8 +213,8 @@ class Trainer:
             self.net.p[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
         for k in ("ew", "ec"):
             rows, grad = g[k]
-            at, back = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(at), DIM), np.float32)
-            np.add.at(total, back, grad)
+            at, total = row_sums(rows, grad)
+            if not len(at):
+                continue
             self.v[k][at] += (total * total).mean(1)
             self.net.p[k][at] -= self.table_rate * total / np.sqrt(self.v[k][at])[:, None]
