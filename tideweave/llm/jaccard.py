@@ -371,3 +371,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = near_duplicates(docs, id_col, text_col, width, similar)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
     return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def oracle_sql(width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> str:
+    """The same in DuckDB, from all pairs of documents that share an n-gram."""
+    num, den = similar
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + {width - 1}], ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {width - 1}, 1))) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE i * {den} >= (p.n + q.n - i) * {num}),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT DISTINCT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+    c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """

@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mix": mixing.oracle_sql()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mix": mixing.oracle_sql(), "op9_ngram_jaccard": jaccard.oracle_sql()}
