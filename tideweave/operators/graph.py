@@ -125,11 +125,11 @@ def bridge_removed(edges: DataFrame, removed: DataFrame) -> DataFrame:
     ``removed`` (node) is a short list: each of its nodes pairs all its neighbours.
     """
     both = both_ways(edges)
-    near = both.join(F.broadcast(removed), "node").join(F.broadcast(removed.select(F.col("node").alias("other"))), "other", "left_anti")
+    near = both.join(removed, "node").join(removed.select(F.col("node").alias("other")), "other", "left_anti")
     a, b = near.alias("a"), near.alias("b")
     new = a.join(b, F.col("a.node") == F.col("b.node")).filter("a.other < b.other").select(F.col("a.other").alias("src"), F.col("b.other").alias("dst"))
     gone = removed.select(F.col("node").alias("src")), removed.select(F.col("node").alias("dst"))
-    left = edges.join(F.broadcast(gone[0]), "src", "left_anti").join(F.broadcast(gone[1]), "dst", "left_anti").select("src", "dst")
+    left = edges.join(gone[0], "src", "left_anti").join(gone[1], "dst", "left_anti").select("src", "dst")
     return left.union(new).distinct()
 
 
@@ -178,6 +178,45 @@ def morans_i(points: DataFrame, bands: list[float], distance: Column | None = No
     return out.select("band", "links", F.try_divide(F.col("s"), F.col("links") * F.col("v")).alias("moran_i"))
 
 
+def nearest(points: DataFrame, features: DataFrame, first: float = 0.01, radius: float = 6371.0088) -> DataFrame:
+    """id, feature, distance: the nearest feature of every point by great circle (equal ones: the smallest).
+
+    ``points`` has id, lat, lon, ``features`` feature, lat, lon, in degrees.  Both become points of the
+    unit sphere in cubes; a point is done once a feature of the 27 cubes around it is nearer than a
+    cube is wide.  What is left goes on with cubes of twice the width, at most two for the last.
+    """
+    from .paths import settled
+
+    def sphere(rows: DataFrame, *keep: str) -> DataFrame:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        return rows.select(*keep, (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+
+    cubes = lambda wide, i=0, j=0, k=0: [(F.floor(F.col(c) / wide) + d).alias(f"c{c}") for c, d in zip("xyz", (i, j, k))]
+    left = settled(sphere(points, "id"))
+    marks = settled(sphere(features, "feature").select("feature", *(F.col(c).alias(f"{c}2") for c in "xyz")))
+    wide, done = first, []
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    while True:
+        near = F.explode(F.array(*(F.struct(*cubes(wide, *d)) for d in around))).alias("c")
+        a = left.select("*", near).select("id", "x", "y", "z", "c.*")
+        b = marks.select("*", *((F.floor(F.col(f"{c}2") / wide)).alias(f"c{c}") for c in "xyz"))
+        chord = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("z") - F.col("z2"), 2))
+        met = a.join(b, ["cx", "cy", "cz"]).select("id", "feature", chord.alias("chord"))
+        best = met.groupBy("id").agg(F.min(F.struct(F.round("chord", 9).alias("chord"), "feature")).alias("b")).select("id", "b.feature", "b.chord")
+        found = settled(best if wide >= 2 else best.filter(F.col("chord") <= wide))
+        done.append(found)
+        if wide >= 2:
+            break
+        left = settled(left.join(found.select("id"), "id", "left_anti"))
+        if not left.limit(1).count():
+            break
+        wide = min(2.0, 2 * wide)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("id", "feature", (2 * radius * F.asin(F.least(F.col("chord") / 2, F.lit(1.0)))).alias("distance"))
+
+
 def triad_census(edges: DataFrame) -> DataFrame:
     """Connected triads by the states of their three dyads: mutual, one way, none."""
     one = edges.filter("src != dst").select("src", "dst").distinct()

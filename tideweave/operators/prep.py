@@ -13,7 +13,7 @@ def complete_rows(rows: DataFrame, *columns: str) -> DataFrame:
 
 def grid(panel: DataFrame, keys: list[str], times: list[str]) -> DataFrame:
     """Every key with every time that the panel has; what is missing is null."""
-    every = panel.select(*keys).distinct().crossJoin(F.broadcast(panel.select(*times).distinct()))
+    every = panel.select(*keys).distinct().crossJoin(panel.select(*times).distinct())
     return every.join(panel, keys + times, "left")
 
 
@@ -117,10 +117,10 @@ def mode(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, share: float = 0.1) -> DataFrame:
     """Pairs of names within an edit distance of ``ceil(share * length of a)``, upper and lower case alike.
 
-    The right side is a list of names that is sent to all tasks; keep it small.
+    Every pair is compared, so both sides should be lists of names, not tables of rows.
     """
     near = F.levenshtein(F.lower(a), F.lower(b)) <= F.ceil(F.length(a) * share)
-    return left.join(F.broadcast(right), near)
+    return left.join(right, near)
 
 
 def block_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:

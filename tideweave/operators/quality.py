@@ -91,7 +91,7 @@ def dispersion(values: DataFrame) -> DataFrame:
     """
     whole = values.dropDuplicates(["node", "cov"]).groupBy("cov").agg(F.var_samp("value").alias("all_var"))
     own = values.groupBy("community", "cov").agg(F.var_samp("value").alias("var"), F.count("*").alias("n"))
-    rows = own.join(F.broadcast(whole), "cov").groupBy("community").agg(F.max("n").alias("size"), F.avg(F.try_divide("var", "all_var")).alias("dispersion"))
+    rows = own.join(whole, "cov").groupBy("community").agg(F.max("n").alias("size"), F.avg(F.try_divide("var", "all_var")).alias("dispersion"))
     return rows
 
 
@@ -106,7 +106,7 @@ def binary_dispersion(values: DataFrame) -> DataFrame:
     spread = lambda: F.avg("value") * (1 - F.avg("value"))
     whole = values.dropDuplicates(["node", "cov"]).groupBy("cov").agg(spread().alias("all_spread"))
     own = values.groupBy("community", "cov").agg(spread().alias("spread"), F.count("*").alias("n"))
-    return own.join(F.broadcast(whole), "cov").groupBy("community").agg(F.max("n").alias("size"), F.avg("spread").alias("spread"), F.avg(F.try_divide("spread", "all_spread")).alias("ratio"))
+    return own.join(whole, "cov").groupBy("community").agg(F.max("n").alias("size"), F.avg("spread").alias("spread"), F.avg(F.try_divide("spread", "all_spread")).alias("ratio"))
 
 
 def trace_r2(values: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def cosine_cohesion(values: DataFrame) -> DataFrame:
     The sum over pairs of unit vectors comes from the length of their sum; no pair is formed.
     """
     lim = values.groupBy("cov").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    scaled = values.join(F.broadcast(lim), "cov").withColumn("x", F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("value")))
+    scaled = values.join(lim, "cov").withColumn("x", F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("value")))
     norm = Window.partitionBy("community", "node")
     unit = scaled.withColumn("len", F.sqrt(F.sum(F.pow("x", 2)).over(norm))).filter("len > 0").withColumn("u", F.col("x") / F.col("len"))
     sums = unit.groupBy("community", "cov").agg(F.sum("u").alias("s"), F.countDistinct("node").alias("n"))
@@ -141,7 +141,7 @@ def silhouette(values: DataFrame) -> DataFrame:
     center = values.groupBy("community", "cov").agg(F.avg("value").alias("m"), F.avg(F.pow("value", 2)).alias("q"), F.count("*").alias("n"))
     center = center.select(F.col("community").alias("other"), "cov", "m", "q", "n")
     point = values.dropDuplicates(["node", "cov"]).select("node", "cov", "value")
-    d = point.join(F.broadcast(center), "cov").groupBy("node", "other").agg(F.sum(F.pow("value", 2) - 2 * F.col("value") * F.col("m") + F.col("q")).alias("d"), F.max("n").alias("n"))
+    d = point.join(center, "cov").groupBy("node", "other").agg(F.sum(F.pow("value", 2) - 2 * F.col("value") * F.col("m") + F.col("q")).alias("d"), F.max("n").alias("n"))
     own = values.select("node", F.col("community").alias("other")).distinct().withColumn("own", F.lit(True))
     d = d.join(own, ["node", "other"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
     inside = F.when(F.col("own") & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1))
@@ -235,7 +235,7 @@ def cover_scores(edges: DataFrame, members: DataFrame) -> DataFrame:
 def trimmed(members: DataFrame, nodes: int, most: float = 0.8, least: int = 0) -> DataFrame:
     """Without communities of more than a share of all nodes or of too few nodes."""
     n = members.groupBy("community").agg(F.count("*").alias("n")).filter((F.col("n") <= most * nodes) & (F.col("n") > least)).select("community")
-    return members.join(F.broadcast(n), "community", "left_semi").select(*members.columns)
+    return members.join(n, "community", "left_semi").select(*members.columns)
 
 
 def containment(members: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def merged(members: DataFrame, share: float = 0.7) -> DataFrame:
 
     pairs = containment(members).filter(F.col("share") > share).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     names = connected(pairs).withColumnRenamed("node", "community")
-    rows = members.join(F.broadcast(names), "community", "left")
+    rows = members.join(names, "community", "left")
     return rows.select("node", F.coalesce("label", "community").alias("community")).distinct()
 
 
@@ -268,7 +268,7 @@ def block_loglik(edges: DataFrame, blocks: DataFrame, corrected: bool = False) -
     ends = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst")
     m = ends.join(b.toDF("src", "r"), "src").join(b.toDF("dst", "s"), "dst").groupBy("r", "s").agg(F.count("*").cast("double").alias("m"))
     size = m.groupBy("r").agg(F.sum("m").alias("n")) if corrected else b.groupBy(F.col("block").alias("r")).agg(F.count("*").cast("double").alias("n"))
-    rows = m.join(F.broadcast(size.toDF("r", "nr")), "r").join(F.broadcast(size.toDF("s", "ns")), "s")
+    rows = m.join(size.toDF("r", "nr"), "r").join(size.toDF("s", "ns"), "s")
     return rows.agg(F.sum(F.col("m") * F.ln(F.col("m") / (F.col("nr") * F.col("ns")))).alias("loglik"))
 
 

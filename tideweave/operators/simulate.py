@@ -63,7 +63,7 @@ def category_pairs(levels: DataFrame, same: float, group: float, other: float) -
     a = levels.select(F.col("level").alias("a"), F.col("group").alias("ga"))
     b = levels.select(F.col("level").alias("b"), F.col("group").alias("gb"))
     p = F.when(F.col("a") == F.col("b"), same).when(F.col("ga") == F.col("gb"), group).otherwise(other)
-    return a.join(F.broadcast(b), F.col("a") >= F.col("b")).select("a", "b", p.alias("probability"))
+    return a.join(b, F.col("a") >= F.col("b")).select("a", "b", p.alias("probability"))
 
 
 def run_gaps(rows: DataFrame, key: str, order: list[str], value: str, length: int) -> DataFrame:

@@ -70,7 +70,7 @@ def affil_impute(spark, folder):
     mask = packed_network(spark, folder).select(F.posexplode("continuous").alias("node", "v")).select("node", F.posexplode("v").alias("cov", "x"))
     mask = mask.select("node", "cov", F.col("x").isNull().alias("is_missing"))
     stats = rows.groupBy("node", "cov").agg(r6(F.avg("value")).alias("mean"), r6(F.median("value")).alias("median"), r6(F.stddev_samp("value")).alias("sd"))
-    return stats.join(F.broadcast(mask), ["node", "cov"])
+    return stats.join(mask, ["node", "cov"])
 
 
 def _per_graph(spark, folder, work, schema: str) -> DataFrame:
@@ -192,7 +192,7 @@ def break_envelopes(spark, folder):
     start = F.lag("pos").over(Window.partitionBy("location").orderBy("id"))
     rows = ends.select("location", "id", start.alias("start"), F.col("pos").alias("end")).filter("start IS NOT NULL")
     low = rows.groupBy("id").agg(F.min("start").alias("low"), F.max("end").alias("high"))
-    return rows.join(F.broadcast(low), "id")
+    return rows.join(low, "id")
 
 
 @query()
@@ -347,17 +347,14 @@ def missing_neighbours(spark, folder):
     return rows.groupBy("year", "week", "node").agg(F.count("*").alias("neighbours"), F.sum(F.col("value").isNull().cast("long")).alias("missing_neighbours"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_acctbal % 90 AS lat, c_custkey % 180 AS lon FROM customer), s AS (SELECT s_suppkey AS sid, s_acctbal % 90 AS lat2, s_suppkey % 180 AS lon2 FROM supplier),
-d AS (SELECT id, sid, 2 * 6371.0088 * asin(sqrt(least(pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2), 1))) AS d FROM p, s)
-SELECT id, min_by(sid, (round(d, 6), sid)) AS nearest, round(min(d), 4) AS km FROM d GROUP BY id""")
+@query("""WITH p AS (SELECT c_custkey AS id, radians(c_acctbal % 90) AS lat, radians(c_custkey % 180) AS lon FROM customer), s AS (SELECT s_suppkey AS sid, radians(s_acctbal % 90) AS lat2, radians(s_suppkey % 180) AS lon2 FROM supplier),
+d AS (SELECT id, sid, sqrt(pow(cos(lat) * cos(lon) - cos(lat2) * cos(lon2), 2) + pow(cos(lat) * sin(lon) - cos(lat2) * sin(lon2), 2) + pow(sin(lat) - sin(lat2), 2)) AS chord FROM p, s)
+SELECT id, min_by(sid, (round(chord, 9), sid)) AS nearest, round(2 * 6371.0088 * asin(least(round(min(chord), 9) / 2, 1)), 3) AS km FROM d GROUP BY id""")
 def nearest_feature(spark, folder):
-    """The nearest supplier of each customer by great circle; suppliers are the short list that is sent around."""
-    from ..functions.numbers import haversine
-
+    """The nearest supplier of each customer by great circle."""
     p = tables.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") % 90).alias("lat"), (F.col("c_custkey") % 180).alias("lon"))
-    s = tables.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("sid"), (F.col("s_acctbal") % 90).alias("lat2"), (F.col("s_suppkey") % 180).alias("lon2"))
-    rows = p.crossJoin(F.broadcast(s)).withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return rows.groupBy("id").agg(F.min_by("sid", F.struct(r6("d").alias("d"), "sid")).alias("nearest"), F.round(F.min("d"), 4).alias("km"))
+    s = tables.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("feature"), (F.col("s_acctbal") % 90).alias("lat"), (F.col("s_suppkey") % 180).alias("lon"))
+    return graph.nearest(p, s).select("id", F.col("feature").alias("nearest"), F.round("distance", 3).alias("km"))
 
 
 @query()

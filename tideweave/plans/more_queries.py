@@ -33,7 +33,7 @@ def date_range_semi_join(spark, folder):
     some = orders.filter("o_orderstatus = 'F'").select("o_orderpriority").distinct()
     day = F.col("o_orderdate")
     rows = orders.filter((day >= F.lit("1996-01-01").cast("timestamp_ntz")) & (day < F.lit("1997-01-01").cast("timestamp_ntz")))
-    return rows.join(F.broadcast(some), "o_orderpriority", "left_semi").select("o_orderkey", "o_totalprice")
+    return rows.join(some, "o_orderpriority", "left_semi").select("o_orderkey", "o_totalprice")
 
 
 @query("""SELECT replace(replace(l_returnflag, 'A', 'accepted'), 'N', 'none') AS flag, CAST(sum(coalesce(CASE WHEN l_tax > 0.05 THEN l_quantity END, 0)) AS DOUBLE) AS q, count(*) AS n FROM lineitem GROUP BY 1""")
@@ -184,7 +184,7 @@ def node_mix_estimate(spark, folder):
     found = graph.mixing_matrix(_und(spark, folder), m).select(F.col("level_a").alias("r"), F.col("level_b").alias("s"), F.col("edges").cast("double").alias("m"))
     n = m.groupBy("level").agg(F.count("*").cast("double").alias("n"))
     a, b = n.select(F.col("level").alias("r"), F.col("n").alias("nr")), n.select(F.col("level").alias("s"), F.col("n").alias("ns"))
-    pairs = a.join(F.broadcast(b), F.col("r") <= F.col("s")).join(found, ["r", "s"], "left").fillna(0.0, ["m"])
+    pairs = a.join(b, F.col("r") <= F.col("s")).join(found, ["r", "s"], "left").fillna(0.0, ["m"])
     total = F.when(F.col("r") == F.col("s"), F.col("nr") * (F.col("nr") - 1) / 2).otherwise(F.col("nr") * F.col("ns"))
     return pairs.select("r", "s", F.col("m").alias("edges"), r6(F.try_divide("m", total)).alias("probability"))
 
@@ -235,7 +235,7 @@ def group_agreement(spark, folder):
     """Share of rows whose level's group is the one that their cluster stands for."""
     events = tables.table(spark, folder, "events")
     level = events.select("event_type").distinct().withColumn("lg", F.when(F.col("event_type").isin("click", "view"), 0).otherwise(1))
-    rows = events.select((F.col("user_id") % 5).alias("grp"), "event_type").join(F.broadcast(level), "event_type")
+    rows = events.select((F.col("user_id") % 5).alias("grp"), "event_type").join(level, "event_type")
     return rows.groupBy("grp").agg(r6(F.avg((F.col("lg") == F.col("grp") % 2).cast("double"))).alias("agreement"), F.count("*").alias("n"))
 
 

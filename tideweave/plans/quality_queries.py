@@ -74,7 +74,7 @@ c AS (SELECT CAST(count(*) FILTER (t AND p) AS DOUBLE) AS tp, CAST(count(*) FILT
 SELECT round(1 - (fp + fn) / n, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c""")
 def precision_recall_f1(spark, folder):
     types = tables.table(spark, folder, "events").select(F.col("event_type").alias("community")).distinct()
-    cells = _nodes(spark, folder).crossJoin(F.broadcast(types))
+    cells = _nodes(spark, folder).crossJoin(types)
     truth, found = _half(spark, folder, 1).withColumn("truth", F.lit(1)), _half(spark, folder, 2).withColumn("predicted", F.lit(1))
     cells = cells.join(truth, ["node", "community"], "left").join(found, ["node", "community"], "left").fillna(0, ["truth", "predicted"])
     return _rounded(quality.precision_recall(cells), "accuracy", "precision", "recall", "f1")
@@ -240,6 +240,6 @@ def anova_f(spark, folder):
     rows = tables.covariates(spark, folder)
     g = rows.groupBy("cov").agg(F.avg("value").alias("g"))
     o = rows.groupBy("community", "cov").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
-    s = o.join(F.broadcast(g), "cov").groupBy("cov").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"), F.count("*").alias("k"), F.sum("n").alias("n"))
+    s = o.join(g, "cov").groupBy("cov").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"), F.count("*").alias("k"), F.sum("n").alias("n"))
     f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
     return s.select("cov", r6(f).alias("f"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"))

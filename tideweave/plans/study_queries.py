@@ -178,7 +178,7 @@ def imputed_categories(spark, folder):
     assembler = VectorAssembler(inputCols=["size", "symbols"], outputCol="x", handleInvalid="skip")
     model = LogisticRegression(featuresCol="x", labelCol="quality", regParam=0.01).fit(assembler.transform(known.withColumn("quality", F.col("quality").cast("double"))))
     gaps = model.transform(assembler.transform(rows.filter("quality IS NULL").drop("quality")))
-    return gaps.join(F.broadcast(mode), "lang", "left").select("doc_id", "lang", F.col("mode").cast("int").alias("by_mode"), F.col("prediction").cast("int").alias("by_regression"))
+    return gaps.join(mode, "lang", "left").select("doc_id", "lang", F.col("mode").cast("int").alias("by_mode"), F.col("prediction").cast("int").alias("by_regression"))
 
 
 @query()

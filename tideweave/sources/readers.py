@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.paths import settled
+
 
 def csv(spark: SparkSession, path: str, schema: str, where: Column | None = None, columns: list[str] | None = None, **options) -> DataFrame:
     """A CSV file or folder, plain or gzipped; rows and columns that are not asked for are not kept.
@@ -55,15 +57,16 @@ def one_hot(rows: DataFrame, key: str, level: str, levels: list) -> DataFrame:
 def numbered_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """name, node_id: names of all endpoints and dense numbers from 1 in their order.
 
-    Ranges of names are numbered on their own and shifted by what comes before, so no task gets all.
+    Names are sorted into ranges, counted range by range, and numbered with what lies before their
+    range; only a row per range is summed up in one place.
     """
-    names = edges.select(F.col(src).alias("name")).union(edges.select(F.col(dst))).distinct()
-    head = F.coalesce(F.substring("name", 1, 2), F.lit(""))
-    counted = names.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = counted.select("head", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("head").orderBy("name"))
-    return names.withColumn("head", head).withColumn("own", own).join(counted, "head").select("name", (F.col("own") + F.col("before")).alias("node_id"))
+    names = edges.select(F.col(src).alias("name")).union(edges.select(F.col(dst))).filter("name IS NOT NULL").distinct()
+    part = F.spark_partition_id()
+    own = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    ranges = settled(names.orderBy("name").select("name", part.alias("range"), own.alias("own")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    return ranges.join(counted, "range").select("name", (F.col("own") + F.col("before") + 1).alias("node_id"))
 
 
 def runs_in(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
