@@ -15,6 +15,8 @@ WORD_BITS, CHAR_BITS = 14, 16
 DIM, HIDDEN, ATTENTION = 12, 8, 8
 LENGTH, STRIDE = 32, 16
 GRAMS = (3, 4, 5)
+#: Words whose n-grams are looked up at a time.
+PART = 1 << 13
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -37,11 +39,21 @@ class Words:
 
 def words_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> Words:
     """Features of words given as byte ranges; n-grams run over the word between two marks."""
+    slot = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    grams, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(start), PART):
+        g, n = _grams(data, start[lo : lo + PART], end[lo : lo + PART])
+        grams.append(g)
+        many.append(n)
+    return Words(slot, np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(many))]))
+
+
+def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words' n-grams, word by word, and how many each word has."""
     size = end - start + 2
     first = np.concatenate([[0], np.cumsum(size)])
-    flat = np.empty(first[-1], np.uint32)
     at = np.repeat(start - 1 - first[:-1], size) + np.arange(first[-1])
-    flat[:] = data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else 0
+    flat = data[np.clip(at, 0, len(data) - 1)].astype(np.uint32)
     flat[first[:-1]], flat[first[1:] - 1] = 1, 2
     owner = np.repeat(np.arange(len(size)), size)
     slots, owners = [], []
@@ -54,9 +66,8 @@ def words_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
             ok = owner[: len(flat) - k] == owner[k:]
             slots.append((h[ok] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - CHAR_BITS))
             owners.append(owner[k:][ok])
-    slots, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, owners))
-    order = np.argsort(owners, kind="stable")
-    return Words((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), slots[order].astype(np.int64), np.searchsorted(owners[order], np.arange(len(size) + 1)))
+    slots, owners = np.concatenate(slots), np.concatenate(owners)
+    return slots[np.argsort(owners, kind="stable")].astype(np.int32), np.bincount(owners, minlength=len(size))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -73,7 +84,7 @@ def windows(code: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray,
     at = begin[:, None] + np.arange(LENGTH)
     inside = at < first[doc + 1][:, None]
     padded = np.append(code, pad)
-    return padded[np.where(inside, at, len(code))], doc
+    return padded[np.where(inside, at, len(code))].astype(np.int32), doc
 
 
 def row_sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +108,13 @@ class Network:
         """Input vectors of words, and a row of zeros for padding."""
         n = np.diff(words.first)
         out = np.zeros((len(n) + 1, DIM), np.float32)
-        some = n > 0
-        if some.any():
-            out[:-1][some] = np.add.reduceat(self.p["ec"][words.grams], words.first[:-1][some], axis=0) / np.sqrt(n[some, None]).astype(np.float32)
+        for lo in range(0, len(n), PART):  # the rows of all n-grams at once would take much memory
+            hi = min(lo + PART, len(n))
+            some = np.flatnonzero(n[lo:hi] > 0) + lo
+            if len(some):
+                first = words.first[lo]
+                grams = words.grams[first : words.first[hi]]
+                out[some] = np.add.reduceat(self.p["ec"][grams], words.first[some] - first, axis=0) / np.sqrt(n[some, None]).astype(np.float32)
         out[:-1] += self.p["ew"][words.slot]
         return out
 

@@ -142,7 +142,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         m = model.value
         for batch in batches:
             whole = C.column(batch.column(2))
-            for lo, hi in C.slices(whole, 2 * C.WINDOW):
+            for lo, hi in C.slices(whole, C.WINDOW):
                 words, index, doc = prepared(whole.part(lo, hi))
                 raw = highest(window_scores(m.net, words, index), doc, hi - lo)
                 p = sigmoid(m.slope * raw + m.shift)
