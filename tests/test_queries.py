@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -18,7 +19,12 @@ def duck(tables):
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
-    show = lambda v: "NULL" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else repr(float(v)) if isinstance(v, float) else str(v)
+    def show(v) -> str:
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
+            return "NULL"
+        # pandas turns integers with nulls into floats
+        return repr(float(v)) if isinstance(v, (int, float, np.integer)) and not isinstance(v, bool) else str(v)
+
     return sorted(tuple(show(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
 
