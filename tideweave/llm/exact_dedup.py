@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import kept, shuffle_width, tidy
+from .shared import bounded_batches, kept, shuffle_width, tidy
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
@@ -277,6 +277,7 @@ def exact_groups(
     empty; rows of equal text and identifier are one group, and one of them is ``kept``.  An empty
     table gives an empty table; further columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(shuffle_width(docs.sparkSession), -(-docs.count() // range_rows))
     runs = kept(flushed_runs(docs, ranges, memtable_bytes, digest), "runs")

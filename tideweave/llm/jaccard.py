@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .components import components
-from .shared import kept, shuffle_width, tidy
+from .shared import bounded_batches, kept, shuffle_width, tidy
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -351,6 +351,7 @@ def near_duplicates(
     identifiers count as larger than all others and are null as a component's.  Repeated rows are
     one class; an empty table gives an empty table; further columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     per_doc = kept(sets(docs, width), "sets")
     found = links(docs, per_doc, width, similar, fragment_grams)

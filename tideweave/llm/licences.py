@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as C
-from .shared import tidy
+from .shared import bounded_batches, tidy
 
 # Statements by which texts name their licence.
 TEMPLATES = {
@@ -218,6 +218,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     paragraphs; repeated rows are scanned each; an empty table gives an empty table; further columns
     are left out.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train())  # 4 MB, fixed
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import bit_mixer as M
 from . import textcols as C
-from .shared import kept, shuffle_width, tidy
+from .shared import bounded_batches, kept, shuffle_width, tidy
 
 #: One of so many parts of the rows, by crc32 of the identifier as text, is never learnt from.
 FOLDS, HELD_OUT = 7, 2
@@ -302,6 +302,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     empty table gives an empty table; further columns are left out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcols as C
-from .shared import tidy
+from .shared import bounded_batches, tidy
 from .unit_cache import UnitCache, encode_each, encode_marked
 
 MARK = "▁"
@@ -258,6 +258,7 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     each; an empty table gives an empty table; further columns are left out.  ``with_ids`` and
     ``with_text`` leave out the wide columns.
     """
+    bounded_batches(docs.sparkSession)
     if bad := differing(rebuilt(parse(model_bytes)), model_bytes, list(PROBES)):
         raise ValueError(f"the rebuilt tokenizer differs from sentencepiece on probes {bad}")
     model = docs.sparkSession.sparkContext.broadcast(model_bytes)  # one model file, half a MB

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .linear import Linear, Rows, fit
-from .shared import give_back, tidy
+from .shared import bounded_batches, give_back, tidy
 
 BITS = 18
 #: Labelled rows that the classifier may learn from: those with the smallest hashes of doc_id.
@@ -141,6 +141,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table; further columns are left out.  Without labelled rows, or with one class only, every text
     has the same probability.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))  # 1 MB, fixed
 
@@ -157,6 +158,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Rows of ``docs``, all columns, that :func:`judge` keeps; nothing is joined or shuffled."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(rows, labels, train_rows))
     at = docs.columns.index(text_col)

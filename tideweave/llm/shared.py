@@ -49,6 +49,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes and rows of a batch that goes to or from a Python worker, at most.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches: texts are long, and each worker holds a batch or two."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(key, "1000000000")).rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def give_back() -> None:
     """Return memory that this process has freed to the system; workers live on between tasks."""
     gc.collect()

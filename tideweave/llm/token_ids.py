@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .blocks import Reader, Writer
-from .shared import fresh_path, kept, shuffle_width, tidy
+from .shared import bounded_batches, fresh_path, kept, shuffle_width, tidy
 from .unit_cache import CACHE_UNITS, UnitCache, encode_each, encode_marked
 
 END = 1
@@ -114,6 +114,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END,
     Texts are dealt into ranges of ascending identifiers, and the task that gets a range encodes it
     and writes its file; ids are never shuffled.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     files = max(shuffle_width(docs.sparkSession), -(-docs.count() // file_docs))
     rows = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

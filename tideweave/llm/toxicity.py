@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import textcols as C
 from .gru import Network, Trainer, Words, windows, words_of
 from .linear import platt, sigmoid
-from .shared import give_back, tidy
+from .shared import bounded_batches, give_back, tidy
 
 #: Labelled rows (toxic, others) that the network may learn from: those with the smallest hashes.
 TRAIN_ROWS = (1500, 2500)
@@ -135,6 +135,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score; repeated rows are scored each; an empty table gives an empty table; further columns are
     left out.  Null labels and labels without an identifier are not learnt from.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows, epochs))  # 4 MB, fixed
 
