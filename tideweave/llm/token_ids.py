@@ -2,7 +2,7 @@
 
 Texts are cut at ASCII white space, where no token of a word-level model reaches across, and each
 worker remembers the ids of the words that it meets most.  Documents are dealt into ranges of ascending
-identifiers, and each range is encoded and written as one file by the task that holds it; a file's
+identifiers, and the ids of each range are written as one file by the task that holds it; a file's
 name has a part of its own, so a repeated task never meets an unfinished file.  The table of files gives the
 number of tokens before each of them.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,7 @@ class WordEncoder:
         return self.cache.encode(C.LOWER[col.data] if self.known else col.data, words, end)[:2]
 
 
+_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 _FILES = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType())])
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -108,39 +109,89 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
 
 
+def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
+    """doc_id, bucket and ids (little-endian; two bytes each where the vocabulary allows)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = WordEncoder(path)
+        wide = max(coder.tokenizer.get_vocab_size(), end or 0) > 0xFFFF
+        kind = np.dtype("<u4" if wide else "<u2")
+        for batch in batches:
+            whole = C.column(batch.column(2))
+            for lo, hi in C.slices(whole):
+                ids, first = coder.encode(whole.part(lo, hi), end)
+                offsets = (first * kind.itemsize).astype(np.int32)
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), blobs], names=_ENCODED.names)
+
+    return docs.mapInArrow(tidy(work), _ENCODED)
+
+
+#: Cuts between identifiers that a plan holds, at most.
+CUTS = 512
+
+
+def range_of(docs: DataFrame, files: int) -> Column:
+    """Number of a document's range, ascending with doc_id (null first), about ``files`` of them.
+
+    Quantiles cut the identifiers into ``CUTS`` ranges at most; for more files each is cut into equal
+    widths, so the plan has a fixed size.
+    """
+    coarse = min(files, CUTS)
+    found = docs.agg(F.percentile_approx("doc_id", [k / coarse for k in range(coarse + 1)], 10 * coarse).alias("c")).first().c or [0]
+    cuts = sorted(set(found))
+    parts = -(-files // coarse)
+    edges = F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>")
+    own = F.greatest(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))), F.lit(1))
+    if parts > 1:
+        low = F.element_at(edges, own)
+        high = F.element_at(edges, F.least(own + 1, F.lit(len(cuts))))
+        share = (F.col("doc_id") - low) / F.greatest(high - low, F.lit(1))
+        inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+        own = own * parts + inner
+    return F.coalesce(own, F.lit(0)).cast("int")
+
+
 def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
     """Write all documents' ids; one row per file, kept: bucket, path, docs, tokens.
 
-    Texts are dealt into ranges of ascending identifiers, and the task that gets a range encodes it
-    and writes its file; ids are never shuffled.
+    Texts are encoded where they are read; only ids go to the task of their range.
     """
+    from tokenizers import Tokenizer
+
+    wide = max(Tokenizer.from_file(path).get_vocab_size(), end or 0) > 0xFFFF
+    kind = "<u4" if wide else "<u2"
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    files = max(shuffle_width(docs.sparkSession), -(-docs.count() // file_docs))
-    rows = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = docs.count()
+    files = max(shuffle_width(docs.sparkSession), -(-n // file_docs))
+    bucket = range_of(docs, files)
+    rows = encoded(docs.select("doc_id", bucket.alias("bucket"), "text"), path, end)
+    rows = rows.repartition(files, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        fs, top = _open(folder)
+        fs.create_dir(top, recursive=True)
+        now, out, stream, at = None, None, None, ""
 
-        bucket = TaskContext.get().partitionId()
-        out = stream = None
-        for batch in batches:
-            if out is None:
-                fs, top = _open(folder)
-                fs.create_dir(top, recursive=True)
-                name = f"ids-{bucket:08d}-{uuid.uuid4().hex}.twpf"
-                stream = fs.open_output_stream(f"{top}/{name}")
-                out, coder = Writer(stream), WordEncoder(path)
-            whole, doc_ids = C.column(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in C.slices(whole):
-                ids, first = coder.encode(whole.part(lo, hi), end)
-                for d in range(lo, hi):
-                    out.add(doc_ids[d], ids[first[d - lo] : first[d - lo + 1]])
-        if out is not None:
+        def done():
             out.close()
             stream.close()
-            columns = [[bucket], [f"{folder}/{name}"], [len(out.ids)], [out.tokens]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=_FILES.names)
+            columns = [[now], [at], [len(out.ids)], [out.tokens]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=_FILES.names)
+
+        for batch in batches:
+            buckets, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for i, (b, blob) in enumerate(zip(buckets, batch.column(2))):
+                if b != now:
+                    if out:
+                        yield done()
+                    now, at = b, f"{folder}/ids-{b:08d}-{uuid.uuid4().hex}.twpf"
+                    stream = fs.open_output_stream(at.replace(folder, top, 1))
+                    out = Writer(stream)
+                out.add(ids[i], np.frombuffer(blob.as_buffer(), kind))
+        if out:
+            yield done()
 
     return kept(rows.mapInArrow(tidy(work), _FILES), "files")
 
@@ -171,7 +222,7 @@ def token_ids(docs: DataFrame, path: str, end: int | None = END, id_col: str = "
 
     One row per input row: doc_id, start (tokens of all documents before it), n_tokens (the end id
     included), ids_crc32.  Documents are in ascending order of doc_id, nulls first, repeated
-    identifiers by their texts.  A null or empty text has the end id only; an empty table gives an
+    identifiers by their ids.  A null or empty text has the end id only; an empty table gives an
     empty table; further columns are left out.
     """
     return read_files(write_files(docs, path, fresh_path(docs.sparkSession, "ids"), end, id_col, text_col, file_docs))
