@@ -30,6 +30,8 @@ from .unit_cache import CACHE_UNITS, UnitCache, encode_each, encode_marked
 END = 1
 #: Documents for one file, about.
 FILE_DOCS = 1 << 14
+#: Bytes of text that a worker takes at a time: words that repeat in them are looked up once.
+TAKEN = 4 << 20
 #: Goes between words that are encoded as one text.
 MARK = "\x01"
 
@@ -118,7 +120,7 @@ def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
         kind = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
             whole = C.column(batch.column(2))
-            for lo, hi in C.slices(whole):
+            for lo, hi in C.slices(whole, TAKEN):
                 ids, first = coder.encode(whole.part(lo, hi), end)
                 offsets = (first * kind.itemsize).astype(np.int32)
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
