@@ -2,7 +2,8 @@
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are
 counted from labelled samples.  A string's score is the sum of log-likelihood ratios of its
-character pairs; strings above a fixed threshold become spans of kind ``markov``.
+character pairs; strings, or their stretches between delimiters, above a fixed threshold become spans
+of kind ``markov``.
 
 Only DataFrame functions are used.  A pattern's matches and the pieces between them give all
 positions: a match starts after all earlier pieces and matches.  Each pattern runs only in texts
@@ -25,8 +26,11 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: The last characters of the alphabet, which join words.
+DELIMITERS = 5
+LEAST = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Mean log-likelihood ratio (nats a character pair) from which a candidate counts as random.
+#: Mean log-likelihood ratio (nats a character pair) from which a candidate, or a stretch of one, counts as random.
 THRESHOLD = 0.35
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -92,11 +96,92 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
-def likelihood_ratio(s: Column, ratios: Column) -> Column:
-    """Sum of the ratios of all character pairs of a string over the alphabet."""
-    place = lambda j: F.instr(F.lit(ALPHABET), F.substring(s, j, F.lit(1)))
-    step = lambda acc, j: acc + F.element_at(ratios, ((place(j) - 1) * len(ALPHABET) + place(j + 1)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), step)
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def random_stretches(s: Column, start: Column, ratios: Column, threshold: float) -> Column:
+    """Spans of what looks random in a string over the alphabet that begins at ``start``.
+
+    The whole string, if its pairs' mean reaches the threshold.  Otherwise the best stretches of LEAST
+    characters or more between delimiters: one pass keeps the lowest sum (of ratios above the threshold)
+    that a stretch could begin after, and closes the open stretch as soon as a later one without a
+    common character reaches the threshold too.  So what stands before or behind takes nothing off.
+    """
+    zero, none = F.lit(0.0), F.array().cast(_SPAN)
+    span = lambda a, b: F.array(F.struct((start + a).cast("int").alias("start"), F.lit(3).alias("kind"), (start + b + 1).cast("int").alias("end")))
+
+    def of_places(place):
+        over = lambda p, i: F.when(i == 0, zero).otherwise(F.element_at(ratios, ((place[i - 1] - 1) * len(ALPHABET) + p).cast("int")) - threshold)
+        return bound(F.transform(place, over), lambda w: of_scores(place, w))
+
+    def of_scores(place, w):
+        n = F.size(w)
+        cut = lambda i: place[i] > len(ALPHABET) - DELIMITERS
+
+        def step(acc, b):
+            i = b - (LEAST - 1)  # the last character that a stretch up to b can begin with
+            p, lag = acc["p"] + w[b], F.when(i > 0, acc["lag"] + w[i]).otherwise(zero)
+            begins = F.when(i < 0, False).when(i == 0, ~cut(i)).otherwise(~cut(i) & cut(i - 1))
+            ends = (i >= 0) & ~cut(b) & F.when(b == n - 1, True).otherwise(cut(b + 1))
+            now = F.struct(p.alias("p"), lag.alias("lag"), begins.alias("begins"), ends.alias("ends"))
+            return bound(now, lambda x: lows(acc, x, b, i))
+
+        def lows(acc, x, b, i):
+            behind = (acc["first"] >= 0) & (i > acc["last"])  # of the open stretch
+            low = x["begins"] & ~behind & (acc["low"].isNull() | (x["lag"] < acc["low"]))
+            next_low = x["begins"] & behind & (acc["next_low"].isNull() | (x["lag"] < acc["next_low"]))
+            kept = F.struct(
+                F.when(low, x["lag"]).otherwise(acc["low"]).alias("low"),
+                F.when(low, i).otherwise(acc["low_at"]).alias("low_at"),
+                F.when(next_low, x["lag"]).otherwise(acc["next_low"]).alias("next_low"),
+                F.when(next_low, i).otherwise(acc["next_at"]).alias("next_at"),
+            )
+            return bound(kept, lambda y: moved(acc, x, y, b))
+
+        def moved(acc, x, y, b):
+            later = x["ends"] & F.coalesce(x["p"] >= y["next_low"], F.lit(False))
+            better = x["ends"] & F.coalesce(x["p"] - y["low"] >= F.greatest(acc["best"], zero), F.lit(False))
+            pick = lambda one, two, three: F.when(later, one).when(better, two).otherwise(three)
+            return F.struct(
+                x["p"].alias("p"),
+                x["lag"].alias("lag"),
+                F.when(later, y["next_low"]).otherwise(y["low"]).alias("low"),
+                F.when(later, y["next_at"]).otherwise(y["low_at"]).alias("low_at"),
+                F.when(~(later | better), y["next_low"]).alias("next_low"),
+                y["next_at"].alias("next_at"),
+                pick(y["next_at"], y["low_at"], acc["first"]).alias("first"),
+                pick(b, b, acc["last"]).alias("last"),
+                pick(x["p"] - y["next_low"], x["p"] - y["low"], acc["best"]).alias("best"),
+                F.when(later, F.concat(acc["out"], span(acc["first"], acc["last"]))).otherwise(acc["out"]).alias("out"),
+            )
+
+        no, null, at = F.lit(-1), F.lit(None).cast("double"), F.lit(0)
+        begin = F.struct(
+            zero.alias("p"), zero.alias("lag"), null.alias("low"), at.alias("low_at"), null.alias("next_low"), at.alias("next_at"),
+            no.alias("first"), no.alias("last"), null.alias("best"), none.alias("out"),
+        )
+        parts = F.aggregate(F.sequence(F.lit(0), n - 1), begin, step, lambda acc: F.when(acc["first"] >= 0, F.concat(acc["out"], span(acc["first"], acc["last"]))).otherwise(acc["out"]))
+        whole = F.aggregate(w, zero, lambda acc, x: acc + x) >= 0
+        return F.when(whole, span(F.lit(0), n - 1)).when(F.exists(place, lambda p: p > len(ALPHABET) - DELIMITERS), parts).otherwise(none)
+
+    letters = F.slice(F.split(s, "", -1), F.lit(1), F.length(s))
+    return bound(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c)), of_places)
+
+
+def apart(span: Column, base: Column) -> Column:
+    """Parts (start, piece) of LEAST characters or more of a span (start, end, hit) that no base span covers."""
+    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    none = F.array().cast("array<struct<start:int,piece:string>>")
+
+    def piece(out, a, b):
+        one = F.struct(a.cast("int").alias("start"), F.substring(span["hit"], a - span["start"] + 1, b - a).alias("piece"))
+        return F.when(b - a >= LEAST, F.concat(out, F.array(one))).otherwise(out)
+
+    begin = F.struct(span["start"].alias("at"), none.alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), piece(acc["out"], acc["at"], b["start"]).alias("out"))
+    return F.aggregate(near, begin, step, lambda acc: piece(acc["out"], acc["at"], span["end"]))
 
 
 def pattern_spans(text: Column, pattern: str, kind: int, good) -> Column:
@@ -128,7 +213,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     Positions are code points, the end exclusive; kind is the place in KINDS.  A null text counts as
     empty; repeated rows are scanned each; an empty table gives an empty table; further columns are
-    left out.  ``markov`` spans are candidates without a common character with a base span.
+    left out.  ``markov`` spans are candidates without what base spans cover, whole or in stretches that look random
+    (see random_stretches).
     """
     spark = docs.sparkSession
     ratios = F.array(*(F.lit(round(x, 6)) for x in train(labelled_samples(spark) if samples is None else samples)))
@@ -140,13 +226,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             "assign": pattern_spans(text, ASSIGN, 0, lambda h: group2(h) >= ASSIGN_LEAST),
             "access": pattern_spans(text, ACCESS, 1, lambda h: F.length(h) >= ACCESS_LEAST),
             "hex": pattern_spans(text, HEX, 2, lambda h: F.lit(True)),
-            "looks": pattern_spans(text, CANDIDATE, 3, lambda h: likelihood_ratio(h, ratios) >= threshold * (F.length(h) - 1)),
+            "looks": F.zip_with(
+                pattern_spans(text, CANDIDATE, 3, lambda h: F.lit(True)),
+                F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
+                lambda x, h: F.struct(x["start"].alias("start"), x["end"].alias("end"), h.alias("hit")),
+            ),
         }
     ).drop("text")
     base = reduce(F.concat, [F.col("assign"), F.col("access"), F.col("hex")])
     rows = rows.withColumn("base_spans", F.array_sort(base))
-    apart = F.filter("looks", lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.select("doc_id", "base_spans", F.array_sort(F.concat("base_spans", apart)).alias("spans"))
+    pieces = F.flatten(F.transform("looks", lambda x: apart(x, F.col("base_spans"))))
+    markov = F.flatten(F.transform(pieces, lambda x: random_stretches(x["piece"], x["start"], ratios, threshold)))
+    return rows.select("doc_id", "base_spans", F.array_sort(F.concat("base_spans", markov)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
