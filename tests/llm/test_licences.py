@@ -48,3 +48,34 @@ def test_spans_point_at_lines(spark):
     assert one.n_paragraphs == 3 and len(got) == 4 and all(not r.licences for r in got if r.doc_id != 1)
     assert L.scan(frame(spark, [])).collect() == []
     assert len(L.digest(L.scan(frame(spark))).collect()) == len(rows())
+
+
+def test_wrapped_statements(spark):
+    headers = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "isc": " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above",
+        "gpl-3.0": "                    GNU GENERAL PUBLIC LICENSE\r\n                       Version 3, 29 June 2007",
+        "apache-2.0": "Apache License\nVersion 2.0, January 2004",
+        "agpl-3.0": "// Licensed under the\n// GNU Affero\n// General Public License,\n// version 3",
+        "gpl-2.0": "the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License",
+        "mit license": "Apache 2.0 License\nMIT\nLicense",
+        "unknown": "all rights\nreserved",
+    }
+    data = [(i, f"größe der river\n\n{t}\n\nthe stone walk\n", "", "", 0, "", 0) for i, t in enumerate(headers.values())]
+    data.append((99, "at the Apache License\n\nVersion 2.0, January 2004", "", "", 0, "", 0))
+    data.append((100, "the driver lost his license\nafter the public accident\nand the river\n" * 3, "", "", 0, "", 0))
+    got = {r.doc_id: r for r in L.scan(frame(spark, data)).collect()}
+    for i, (family, t) in enumerate(headers.items()):
+        raw = data[i][1].encode()
+        want = [("apache-2.0", "Apache 2.0 License"), ("mit", "MIT\nLicense")] if family == "mit license" else [(family, t.strip())]
+        assert [(x.family, raw[x.start : x.end].decode().strip()) for x in got[i].licences] == want, got[i].licences
+    assert "apache-2.0" not in [x.family for x in got[99].licences] and not got[100].licences
+
+
+def test_statements_in_long_lines(spark):
+    stone = "thinonon was the enndre of ontiononea and ti haly eringti in that " * 40
+    texts = {"mpl-2.0": "licensed under the Mozilla Public License, version 2.0", "unknown": "All rights reserved.", "none": "the stone"}
+    data = [(i, f"{stone}{t} {stone}", "", "", 0, "", 0) for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r for r in L.scan(frame(spark, data)).collect()}
+    assert [[x.family for x in got[i].licences] for i in range(3)] == [["mpl-2.0"], ["unknown"], []]

@@ -1,6 +1,7 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by templates.
 
-A paragraph is a line of text.  A multinomial logistic regression over hashed word 1- to 3-grams
+A paragraph is a line of text; lines without a blank line between them are a block, and a statement that
+is wrapped over lines of a block is found over all of them.  A multinomial logistic regression over hashed word 1- to 3-grams
 names its licence family, no licence, or ``unknown``: a licence statement of no known family.  It is
 trained on labelled paragraphs made from the families' templates and from statements and prose that
 name no known licence; probabilities are calibrated by a temperature on paragraphs that training has
@@ -64,6 +65,10 @@ GRAMS = (1, 2, 3)
 THRESHOLD = 0.5
 #: Words that a template of more than twelve words may lack in a paragraph, as a share; shorter ones none.
 LACKING = 0.1
+#: Words before and behind a wrapped statement that are judged with it, as many as the samples have at most.
+BEFORE, BEHIND = 8, 12
+#: Words on each side of a line end that are judged together: the longest statement has as many.
+AROUND = 20
 
 #: Everything but ASCII letters and digits and bytes of other characters separates words.
 SEPARATOR = np.ones(256, bool)
@@ -173,32 +178,46 @@ def train(seed: int = 1, epochs: int = 40, rate: float = 0.5, penalty: float = 1
     return model
 
 
+def subsequence(template: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of a template with the words' beginnings, by their lengths."""
+    run = np.zeros(len(words) + 1, np.int64)  # row by row
+    for t in template:
+        new = np.maximum(run[1:], run[:-1] + (words == t))
+        run = np.concatenate([[0], np.maximum.accumulate(new)])
+    return run
+
+
 def in_order(template: np.ndarray, words: np.ndarray) -> float:
     """Share of a template's words that a paragraph has in the same order, close together."""
     best = 0
     for begin in np.flatnonzero(words == template[0]):
-        part = words[begin : begin + 2 * len(template) + 4]
-        run = np.zeros(len(part) + 1, np.int64)  # longest common subsequence, row by row
-        for t in template:
-            new = np.maximum(run[1:], run[:-1] + (part == t))
-            run = np.concatenate([[0], np.maximum.accumulate(new)])
-        best = max(best, int(run[-1]))
+        best = max(best, int(subsequence(template, words[begin : begin + 2 * len(template) + 4])[-1]))
     return best / len(template)
 
 
+def least_share(template: np.ndarray) -> float:
+    return 1 - LACKING if len(template) > 12 else 1
+
+
 def classify(model: Model, words: C.Segments, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and probability of the given lines."""
-    n = words.first[line + 1] - words.first[line]
+    return classify_ranges(model, words, words.first[line], words.first[line + 1])
+
+
+def classify_ranges(model: Model, words: C.Segments, begin: np.ndarray, end: np.ndarray, core: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Class and probability of the given ranges of words; templates are looked for in their cores."""
+    core = (begin, end) if core is None else core
+    n = end - begin
     first = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(words.first[line] - first[:-1], n) + np.arange(first[-1])
+    at = np.repeat(begin - first[:-1], n) + np.arange(first[-1])
     some = C.Segments(words.start[at], words.end[at], words.hash[at], first)
     p = softmax(scores(model, some))
     stated = 1 - p[:, 0]
     kind = np.where(stated >= THRESHOLD, 1 + np.argmax(p[:, 1:], axis=1), 0)
     for i in np.flatnonzero(kind > 0):
-        own = some.hash[first[i] : first[i + 1]]
+        own = words.hash[core[0][i] : core[1][i]]
         # the named family first; then any, the longest template first
-        fits = [(share, len(t), k) for k, t in model.templates if (share := in_order(t, own)) >= (1 - LACKING if len(t) > 12 else 1)]
+        fits = [(share, len(t), k) for k, t in model.templates if (share := in_order(t, own)) >= least_share(t)]
         named = [f for f in fits if f[2] == kind[i]]
         if named and max(named) >= max(fits):
             continue
@@ -206,6 +225,99 @@ def classify(model: Model, words: C.Segments, line: np.ndarray) -> tuple[np.ndar
     return kind, stated
 
 
+def blocks(col: C.Column, lines: C.Segments) -> np.ndarray:
+    """Number of each line's block; empty lines and lines of white space only end a block."""
+    if not len(lines):
+        return np.zeros(0, np.int64)
+    ink = np.concatenate([[0], np.cumsum(~C.IS_SPACE[col.data])])
+    blank = ink[lines.end] == ink[lines.start]
+    doc = lines.doc()
+    new = (doc[1:] != doc[:-1]) | (lines.start[1:] - lines.end[:-1] > 1) | blank[1:] | blank[:-1]
+    return np.concatenate([[0], np.cumsum(new)])
+
+
+def wrapped(model: Model, words: C.Segments, line: np.ndarray, block: np.ndarray, long: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words over several lines of a block, or in a ``long`` line, that hold enough of a template; overlapping ones are one."""
+    end = np.searchsorted(block, block, "right")
+    more = (line[end - 1] > line) | long[line]  # or further lines of the block follow
+    found = []
+    for _, t in model.templates:
+        begin = np.flatnonzero(more & (words.hash == t[0]))
+        if not len(begin):
+            continue
+        at = begin[:, None] + np.arange(2 * len(t) + 4)
+        inside = np.isin(words.hash[np.minimum(at, len(words) - 1)], t) & (at < end[begin][:, None])
+        for i in begin[inside.sum(1) >= least_share(t) * len(t)].tolist():
+            run = subsequence(t, words.hash[i : min(i + 2 * len(t) + 4, end[i])])
+            j = i + int(np.argmax(run))
+            if run[-1] / len(t) >= least_share(t) and (line[j - 1] > line[i] or long[line[i]]):
+                found.append((i, j))
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]))
+        else:
+            out.append((i, j))
+    return out
+
+
+def statements(model: Model, col: C.Column, lines: C.Segments, words: C.Segments, telling: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """First line, last line, class and probability of all statements, in order.
+
+    Lines are asked one by one; then templates that are wrapped or in long lines, which stand for what
+    their lines alone said of the same family or of none known; then, for statements of no known family,
+    the words around each line end within a block and overlapping windows of long lines, where no
+    statement is yet.
+    """
+    line = np.searchsorted(lines.start, words.start, "right") - 1
+    block = blocks(col, lines)[line]
+    slots, at = _slots(words)[0]
+    tell = np.zeros(len(words), bool)
+    tell[at] = telling[slots]
+    by_line = C.Segments(words.start, words.end, words.hash, np.searchsorted(line, np.arange(len(lines) + 1)))
+    ask = np.flatnonzero(np.bincount(line[tell], minlength=len(lines)) >= 2)
+    found = {}
+    if len(ask):
+        kind, p = classify(model, by_line, ask)
+        found = {(i, i): (k, q) for i, k, q in zip(ask.tolist(), kind.tolist(), p.tolist()) if k}
+    long = np.diff(by_line.first) > 2 * AROUND
+    if not long.any() and (not len(words) or block[-1] == line[-1]):  # every line is a block
+        return [(*x, *y) for x, y in sorted(found.items())]
+    first, last = np.searchsorted(block, block, "left"), np.searchsorted(block, block, "right")
+    taken = np.zeros(len(lines), bool)
+    taken[[i for i, _ in found]] = True
+    if ranges := wrapped(model, words, line, block, long):
+        i, j = np.array(ranges).T
+        kind, p = classify_ranges(model, words, np.maximum(i - BEFORE, first[i]), np.minimum(j + BEHIND, last[i]), (i, j))
+        for a, b, k, q in zip(line[i].tolist(), line[j - 1].tolist(), kind.tolist(), p.tolist()):
+            if k > 1:
+                for c in range(a, b + 1):
+                    if found.get((c, c), (0,))[0] in (1, k):
+                        del found[c, c]
+                found[a, b] = (k, q)
+                taken[a : b + 1] = True
+    place = np.arange(len(words)) - by_line.first[line]
+    ends = np.append(False, (line[1:] != line[:-1]) & (block[1:] == block[:-1]))
+    cut = np.flatnonzero(ends | long[line] & (place > 0) & (place % AROUND == 0))
+    i, j = np.maximum(cut - AROUND, first[cut]), np.minimum(cut + AROUND, last[cut])
+    many = np.concatenate([[0], np.cumsum(tell)])
+    used = np.concatenate([[0], np.cumsum(taken[line])])
+    both = (many[cut] > many[i]) & (many[j] > many[cut])  # else one short line has all, and was asked
+    some = (both | (long[line[cut]] | long[line[cut - 1]]) & (many[j] >= many[i] + 2)) & (used[j] == used[i])
+    i, j = i[some], j[some]
+    if len(i):
+        own = np.flatnonzero(tell)
+        a, b = own[many[i]], own[many[j] - 1]
+        kind, p = classify_ranges(model, words, np.maximum(a - BEFORE, i), np.minimum(b + 1 + BEHIND, j))
+        for x in np.flatnonzero(kind == 1):
+            c, d = int(line[a[x]]), int(line[b[x]])
+            different = np.unique(words.hash[a[x] : b[x] + 1][tell[a[x] : b[x] + 1]])  # not one word again and again
+            if len(different) > 1 and not taken[c : d + 1].any():
+                found[c, d] = (1, float(p[x]))
+                taken[c : d + 1] = True
+    return [(*x, *y) for x, y in sorted(found.items())]
+
+
 _FOUND = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType())])
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_paragraphs", T.LongType()), T.StructField("licences", T.ArrayType(_FOUND))])
 
@@ -213,8 +325,9 @@ _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_par
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_paragraphs, licences (start, end, family, probability).
 
-    Paragraphs are the non-empty lines of the whole text; start and end are bytes of UTF-8.  A line
-    with fewer than two words that statements have and common prose has not is no statement.  A null text has no
+    Paragraphs are the non-empty lines of the whole text; start and end are bytes of UTF-8, of a statement
+    that is wrapped over several lines from the first one's start to the last one's end.  What has fewer
+    than two words that statements have and common prose has not is no statement.  A null text has no
     paragraphs; repeated rows are scanned each; an empty table gives an empty table; further columns
     are left out.
     """
@@ -233,18 +346,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 lines = C.segments(col, C.IS_NEWLINE)
                 # words of lines: cut at all separators, line ends among them
                 words = C.segments(col, SEPARATOR, lower=True)
-                line = np.searchsorted(lines.start, words.start, "right") - 1
-                slots, at = _slots(words)[0]
-                hits = np.bincount(line[at[telling[slots]]], minlength=len(lines))
-                by_line = C.Segments(words.start, words.end, words.hash, np.searchsorted(line, np.arange(len(lines) + 1)))
-                ask = np.flatnonzero(hits >= 2)
-                kind, p = classify(m, by_line, ask) if len(ask) else (np.zeros(0, np.int64), np.zeros(0))
-                ask, kind, p = ask[kind > 0], kind[kind > 0], p[kind > 0]
-                doc = lines.doc()[ask]
-                base = col.offsets[doc]
+                doc = lines.doc()
                 found: list[list] = [[] for _ in range(hi - lo)]
-                for d, a, b, k, q in zip(doc.tolist(), (lines.start[ask] - base).tolist(), (lines.end[ask] - base).tolist(), kind.tolist(), p.tolist()):
-                    found[d].append({"start": a, "end": b, "family": CLASSES[k], "probability": q})
+                for a, b, k, q in statements(m, col, lines, words, telling):
+                    base = int(col.offsets[doc[a]])
+                    found[doc[a]].append({"start": int(lines.start[a]) - base, "end": int(lines.end[b]) - base, "family": CLASSES[k], "probability": q})
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(lines.first)), pa.array(found, kinds)], names=_OUT.names)
 
