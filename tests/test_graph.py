@@ -80,3 +80,17 @@ def test_connected_parts(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src int, dst int")
     got = {r.node: r.label for r in paths.connected(e).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_omega_by_run(spark):
+    from tideweave.operators import quality
+
+    truth = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "node int, community string")
+    runs = {"same": [(i, "xy"[i % 2]) for i in range(6)], "half": [(i, "xy"[i // 3]) for i in range(6)], "empty": []}
+    found = spark.createDataFrame([(k, *x) for k, v in runs.items() for x in v], "run string, node int, community string")
+    nodes = spark.createDataFrame([(k, i) for k in runs for i in range(6)], "run string, node int")
+    got = {r.run: r for r in quality.omega(truth, found, nodes, ("run",)).collect()}
+    assert set(got) == set(runs) and got["same"].omega == 1
+    for k in runs:
+        one = quality.omega(truth, found.filter(f"run = '{k}'"), truth.select("node")).first()
+        assert [round(got[k][c], 9) for c in ("observed", "expected", "omega")] == [round(one[c], 9) for c in ("observed", "expected", "omega")]

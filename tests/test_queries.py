@@ -40,3 +40,11 @@ def test_query(name, spark, tables, duck):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_fit_agreement_has_every_run(spark, tables):
+    from tideweave.plans import model_queries
+
+    rows = QUERIES["fit_agreement"](spark, tables).collect()
+    assert sorted(r.run_id for r in rows) == sorted(r.run_id for r in model_queries._grid(spark).collect())
+    assert all(None not in (r.observed, r.expected, r.omega) for r in rows)

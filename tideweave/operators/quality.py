@@ -25,27 +25,34 @@ def threshold(n: int) -> float:
     return sqrt(-log1p(-1 / n))
 
 
-def omega(truth: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+def omega(truth: DataFrame, found: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row: Omega index of two memberships, with observed and expected agreement.
 
+    With ``by``, columns of ``found`` and ``nodes``, one row for each of their values in ``nodes``.
+
     Two nodes agree if both memberships give them equally many common communities.  Nodes with the
     same sets of communities count alike, so pairs are taken between different sets of sets only.
     """
-    side = lambda m, name: m.groupBy("node").agg(F.array_sort(F.collect_set(F.col("community").cast("string"))).alias(name))
+    side = lambda m, name, *keys: m.groupBy(*keys, "node").agg(F.array_sort(F.collect_set(F.col("community").cast("string"))).alias(name))
     none = F.array().cast("array<string>")
-    kinds = nodes.select("node").distinct().join(side(truth, "a"), "node", "left").join(side(found, "b"), "node", "left")
-    kinds = kinds.select(F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    kinds = nodes.select(*by, "node").distinct().join(side(truth, "a"), "node", "left").join(side(found, "b", *by), [*by, "node"], "left")
+    kinds = kinds.select(*by, F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b")).groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
     kinds = kinds.withColumn("k", F.concat_ws("|", F.array_join("a", ","), F.array_join("b", ",")))
     x, y = kinds.alias("x"), kinds.alias("y")
-    pairs = x.join(y, F.col("x.k") <= F.col("y.k"))
+    near = F.col("x.k") <= F.col("y.k")
+    for c in by:
+        near &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    pairs = x.join(y, near)
     same = F.col("x.k") == F.col("y.k")
     number = F.when(same, F.col("x.n") * (F.col("x.n") - 1) / 2).otherwise(F.col("x.n") * F.col("y.n")).cast("double")
-    counts = pairs.select(F.size(F.array_intersect("x.a", "y.a")).alias("j"), F.size(F.array_intersect("x.b", "y.b")).alias("k"), number.alias("n"))
-    counts = counts.groupBy("j", "k").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("p"), F.sum(F.when(F.col("j") == F.col("k"), F.col("n")).otherwise(0.0)).alias("same"))
-    a, b = counts.groupBy("j").agg(F.sum("n").alias("na")), counts.groupBy(F.col("k").alias("j")).agg(F.sum("n").alias("nb"))
-    expected = a.join(b, "j").agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
-    out = total.crossJoin(expected).select((F.col("same") / F.col("p")).alias("observed"), (F.col("e") / (F.col("p") * F.col("p"))).alias("expected"))
+    counts = pairs.select(*(F.col(f"x.{c}").alias(c) for c in by), F.size(F.array_intersect("x.a", "y.a")).alias("j"), F.size(F.array_intersect("x.b", "y.b")).alias("k"), number.alias("n"))
+    counts = counts.groupBy(*by, "j", "k").agg(F.sum("n").alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("p"), F.sum(F.when(F.col("j") == F.col("k"), F.col("n")).otherwise(0.0)).alias("same"))
+    a, b = counts.groupBy(*by, "j").agg(F.sum("n").alias("na")), counts.groupBy(*by, F.col("k").alias("j")).agg(F.sum("n").alias("nb"))
+    expected = a.join(b, [*by, "j"]).groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
+    # without a common number nothing is expected to agree
+    both = total.join(expected, list(by), "left").fillna(0.0, "e") if by else total.crossJoin(expected)
+    out = both.select(*by, (F.col("same") / F.col("p")).alias("observed"), (F.col("e") / (F.col("p") * F.col("p"))).alias("expected"))
     return out.withColumn("omega", F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")))
 
 

@@ -368,8 +368,9 @@ def selected_fits(spark, folder):
 
 @query()
 def fit_agreement(spark, folder):
-    """Omega of every fit's memberships with the regions."""
+    """run_id, and Omega of every fit's memberships with the regions."""
     found = affil_memberships(spark, folder)
     place = tables.places(spark, folder).select(F.col("nationkey").alias("node"), F.col("region").alias("community"))
-    one = q.omega(place, found.filter("run_id = '3-LASSO-0.001'").select("node", "community"), place.select("node"))
-    return one.select(*(r6(c).alias(c) for c in one.columns))
+    runs = _grid(spark).select("run_id").crossJoin(F.broadcast(place.select("node")))  # 12 runs, 25 nations
+    rows = q.omega(place, found, runs, ("run_id",))
+    return rows.select("run_id", *(r6(c).alias(c) for c in ("observed", "expected", "omega")))
