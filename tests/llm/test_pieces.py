@@ -76,3 +76,18 @@ def test_unigram_scores():
     ids, first, _ = coder.encode(pa.array(texts))
     sp = sentencepiece.SentencePieceProcessor(model_proto=data)
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [sp.encode(t) for t in texts]
+
+
+def test_units_are_held_against_the_library(spark, monkeypatch):
+    import pytest
+
+    assert P.differing_units(P.PieceEncoder(MODEL), MODEL, list(P.PROBES)) == []
+    real = P.PieceEncoder.__init__
+
+    def cut_everywhere(self, data):
+        real(self, data)
+        self.apart[:128, :128] = True
+
+    monkeypatch.setattr(P.PieceEncoder, "__init__", cut_everywhere)
+    with pytest.raises(ValueError, match="by units"):
+        P.encode_decode(frame(spark), MODEL)

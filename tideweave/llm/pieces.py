@@ -3,7 +3,8 @@
 The model's protobuf is read field by field: pieces with scores and kinds, the kind of the model, and
 the normaliser.  From them a tokenizer is rebuilt: normaliser, metaspace marker, unigram scores or
 merges, byte fallback.  Batches are encoded and decoded by the library's threads, and the rebuilt
-tokenizer is held against the sentencepiece library on probe texts before it is used.
+tokenizer and the encoder by units are held against the sentencepiece library on probe texts before they
+are used.
 """
 
 from __future__ import annotations
@@ -238,6 +239,20 @@ def differing(tokenizer, model_bytes: bytes, texts: list[str]) -> list[int]:
     return [i for i, (w, g, b) in enumerate(zip(want, got, back)) if w != g or sp.decode(w) != b]
 
 
+def differing_units(coder: PieceEncoder, model_bytes: bytes, texts: list[str]) -> list[int]:
+    """Places of texts whose ids or round trip PieceEncoder, which makes the output, tells differently."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
+    want = sp.encode(list(texts), num_threads=1)
+    good = [sp.decode(w) == _plain(coder.whole, coder.model, t) for w, t in zip(want, texts)]
+    bad = set()
+    for _ in range(2):  # encoded, then read from the cache
+        ids, first, same = coder.encode(pa.array(texts, pa.string()))
+        bad |= {i for i, w in enumerate(want) if ids[first[i] : first[i + 1]].tolist() != w or bool(same[i]) != good[i]}
+    return sorted(bad)
+
+
 _OUT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -261,6 +276,8 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     bounded_batches(docs.sparkSession)
     if bad := differing(rebuilt(parse(model_bytes)), model_bytes, list(PROBES)):
         raise ValueError(f"the rebuilt tokenizer differs from sentencepiece on probes {bad}")
+    if bad := differing_units(PieceEncoder(model_bytes), model_bytes, list(PROBES)):
+        raise ValueError(f"encoding by units differs from sentencepiece on probes {bad}")
     model = docs.sparkSession.sparkContext.broadcast(model_bytes)  # one model file, half a MB
     out = T.StructType([f for f in _OUT if (with_ids or f.name != "ids") and (with_text or f.name != "decoded")])
 
