@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 from corpus import frame, rows
+from plain_mixer import Mixer
+from pyspark.sql import functions as F
 
 from tideweave.llm import bit_mixer as M
 from tideweave.llm import lm_score as L
@@ -39,6 +41,10 @@ def test_many_slices(spark):
     check(spark, rows(), slice_bytes=500)
 
 
+def test_long_words(spark):
+    check(spark, [(1, "a" * 300_000, "", "", 0, "", 0), (2, "a b " + "qx7" * 40_000, "", "", 0, "", 0), (3, "a b", "", "", 0, "", 0)])
+
+
 def test_odd_tables(spark):
     assert L.scores(frame(spark, [])).collect() == []
     check(spark, [(i, None, "", "", 0, "", 0) for i in range(3)])
@@ -46,39 +52,84 @@ def test_odd_tables(spark):
     check(spark, [(only_held, "some words", "", "", 0, "", 0)])
 
 
-def words(*w):
-    w = [x.encode() for x in w]
-    return np.frombuffer(b"".join(w), np.uint8), np.array([len(x) for x in w])
-
-
-def test_a_byte_s_probabilities_sum_to_one():
-    counts = np.zeros((2, M.SLOTS))
-    M.count(counts, *words("the", "then", "river"), np.array([5, 2, 9]))
-    m = M.Mixer.start(counts)
-    m.learn(*words("the", "then", "river"), np.array([5, 2, 9]))
-    slots, bits, word, first = M.bits_of(np.arange(256, dtype=np.uint8).repeat(1), np.ones(256, int))
-    x, gate = m.inputs(slots, None, first)
-    p = m.mixed(x, gate)[0]
-    log = np.log(np.where(bits > 0, p, 1 - p)).reshape(256, 2, 8)
-    assert abs(np.exp(log[:, 0].sum(1)).sum() - 1) < 1e-9  # first bytes of all values
-
-
-def test_the_model_learns():
-    r = np.random.default_rng(0)
-    vocabulary = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(200)]
-    times = r.integers(1, 500, 200)
-    data, size = words(*vocabulary)
-    counts = np.zeros((2, M.SLOTS))
-    M.count(counts, data, size, times)
-    m = M.Mixer.start(counts)
-    before = (m.log10(data, size) * times).sum()
-    for _ in range(3):
-        m.learn(data, size, times)
-    after = (m.log10(data, size) * times).sum()
-    unigram = (np.log10(times / times.sum()) * times).sum()
-    assert after > before and after > 1.6 * unigram
-    strange = m.log10(*words("zzzzzz", "zqxwvy"))
-    assert strange.max() < m.log10(data, size).max()
+TEXTS = [t for _, t, *_ in rows(25) if t is not None and len(t) < 5000] + ["Zürich 42, the RIVER \x00 x", "\n\n"]
+
+
+def compiled(spark, model, texts):
+    f = M.scorer(spark, model)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    return [np.frombuffer(r.p, "<f4") for r in df.select("i", f(F.col("text").cast("binary")).alias("p")).orderBy("i").collect()]
+
+
+def test_equals_a_plain_mixer(spark):
+    plain = Mixer()
+    learnt = [plain.code(t, learn=True) for t in TEXTS]
+    assert all(x < 0 for t in learnt for x in t)
+    model = M.learn(spark.createDataFrame([(t,) for t in TEXTS], "text string").coalesce(1))
+    for t, got in zip(TEXTS, compiled(spark, model, TEXTS)):
+        want = plain.code(t)
+        assert len(want) == len(got) == len(tokens(t))
+        assert np.allclose(got, want, rtol=0.01, atol=0.01), t
+    # without a word of training
+    for t, got in zip(TEXTS[:5], compiled(spark, M.learn(spark.createDataFrame([], "text string")), TEXTS[:5])):
+        assert np.allclose(got, Mixer().code(t), rtol=0.01, atol=0.01)
+
+
+def test_the_score_blends_tokens_of_the_mixer_with_counts(spark):
+    data = [(i, t, "", "", 0, "", 0) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r.score for r in L.scores(frame(spark, data).coalesce(1)).collect()}
+    plain, c = Mixer(), Counter()
+    for i, t in enumerate(TEXTS):
+        if not held(i):
+            plain.code(t, learn=True)
+            c.update(tokens(t))
+    n = sum(c.values())
+    for i, t in enumerate(TEXTS):
+        p = 10 ** np.array(plain.code(t))
+        q = np.array([c[w] / n for w in tokens(t)])
+        tries = [np.log10(s * q + (1 - s) * p).sum() for s in L.SHARES]
+        want = max(tries) + math.log10(np.mean([10 ** (x - max(tries)) for x in tries]))
+        assert abs(got[i] - want) < 0.01 * abs(want) + 0.05
+
+
+def test_order_of_words_counts_and_models_add_up(spark):
+    df = frame(spark)
+    one, many = M.learn(df.coalesce(1)), M.learn(df.repartition(20, "doc_id"))
+    assert many == M.learn(df.repartition(20, "doc_id"))
+    text = "the river stone walks of the river and the data of the river stone"
+    mixed = " ".join(sorted(text.split(), key=lambda w: w[::-1]))
+    for model in (one, many):
+        a, b = (x.sum() for x in compiled(spark, model, [text, mixed]))
+        assert abs(a - b) > 0.1
+    known, strange = (x.sum() for x in compiled(spark, many, ["the river walks of data", "qhe zivxr wjlks kf dqtx"]))
+    assert known > strange + 3
+
+
+def test_a_part_s_probabilities_sum_to_one():
+    plain = Mixer()
+    plain.code("the river walks of the data", learn=True)
+    start = [context * 3 for context in range(6)]
+    total = 0.0
+    for c in range(256):
+        place = b" etaoinsrhldcumfpgwyb,.v".find(c)
+        row = 12 + (place - 12) // 4
+        parts = [(place, 4, 0, 0)] if 0 <= place < 12 else [(row, 4, 0, 0), (place % 4, 2, row, 16 * (row - 11))] if place >= 12 else [(15, 4, 0, 0), (c >> 4, 4, 15, 64), (c & 15, 4, 16 + (c >> 4), 80 + (c & 0xF0))]
+        p, w, r, own = 1.0, [x[:] for x in plain.weight], [x[:] for x in plain.refine], {}
+        for part in parts:
+            p *= plain.part(part, start, w, r, own, False)
+        total += p
+    assert abs(total - 1 + sum_of_common_escapes(plain, start)) < 1e-9
+
+
+def sum_of_common_escapes(plain, start):
+    """What the code of 12 decisions wastes on the 24 bytes that have shorter ones."""
+    total = 0.0
+    for c in b" etaoinsrhldcumfpgwyb,.v":
+        p, w, r, own = 1.0, [x[:] for x in plain.weight], [x[:] for x in plain.refine], {}
+        for part in [(15, 4, 0, 0), (c >> 4, 4, 15, 64), (c & 15, 4, 16 + (c >> 4), 80 + (c & 0xF0))]:
+            p *= plain.part(part, start, w, r, own, False)
+        total += p
+    return total
 
 
 def test_small_integers_round_trip():

@@ -1,186 +1,92 @@
-"""Online logistic context mixing over the bits of words, in numpy.
-
-A word is coded byte by byte, then a closing space; a byte is eight binary decisions.  Several
-predictors look at different contexts of the byte (position, the last one to four bytes, the whole
-prefix), each through a hashed table of fixed size that counts zeros and ones.  Their stretched
-probabilities are combined by weights that a gate chooses: the longest context with evidence and how
-much it has.  The mixed probability is refined by an adaptive table over the gate and the mixed
-value.  Everything a word's probability depends on is in the word, so a word is scored once.
+"""The context mixer as functions of Spark.
+
+Coding a text bit by bit is a loop that neither SQL functions nor numpy can run in bounded time, so
+it is Java (``java/Mixer.java``), compiled by the compiler that Spark itself generates code with.  The
+classes go as a jar into the shared folder, and from there to the executors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-
-#: Bits of each predictor's table: order 0 with position, orders 1 to 4, whole prefix.
-TABLE_BITS = (14, 16, 18, 18, 18, 18)
-PREDICTORS = len(TABLE_BITS)
-_FIRST = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-SLOTS = int(_FIRST[-1])
-EVIDENCE = 6  # buckets of counts
-GATES = PREDICTORS * EVIDENCE * 2  # and whether the byte is a word's first
-STEPS = 33  # of the refining table, over stretched probabilities from -8 to 8
-PRIOR = 0.4
-#: Steps of the weights for each unit of mean gradient, and of the refining table for each unit of mass.
-RATE, REFINE_RATE = 1.0, 0.0004
-#: Bits that one update of the weights sees.
-BATCH = 1 << 15
-END = b"\n"  # a word that no text has: the end of a text
-
-_U = np.uint64
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        return x ^ (x >> _U(32))
-
-
-def bits_of(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For words (bytes one after the other, and sizes) all decisions in order.
-
-    Returns the slots (decision, predictor), the bits, each decision's word, and whether it belongs
-    to a first byte.
+import io
+import pkgutil
+import zipfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import fresh_path, kept
+
+#: Packed models that are added at a time.
+FAN_IN = 8
+_COMPILED: dict[str, object] = {}
+
+
+def _classes(spark: SparkSession):
+    """Loader of the compiled classes, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _COMPILED:
+        jvm = spark._jvm
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(pkgutil.get_data(__package__, "java/Mixer.java").decode())
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as jar:
+            for name, code in dict(compiler.getBytecodes()).items():
+                jar.writestr(name.replace(".", "/") + ".class", bytes(code))
+        path = jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "mixer") + ".jar")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(packed.getvalue())
+        out.close()
+        spark.sparkContext._jsc.sc().addJar(path.toString())
+        _COMPILED.clear()
+        _COMPILED[app] = compiler.getClassLoader()
+    return _COMPILED[app]
+
+
+def _new(spark: SparkSession, name: str, *args):
+    """An object of a nested class, which has one constructor."""
+    java, gateway = spark._jvm.java, spark.sparkContext._gateway
+    values = gateway.new_array(java.lang.Object, len(args))
+    for i, x in enumerate(args):
+        values[i] = x
+    return _classes(spark).loadClass(f"tideweave.llm.Mixer${name}").getConstructors()[0].newInstance(values)
+
+
+def _function(spark: SparkSession, name: str, made) -> Callable[[Column], Column]:
+    """A registered function from an array of models, or a text, to bytes."""
+    spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType('"binary"'))
+    return lambda c: F.call_function(name, c)
+
+
+def _aggregate(spark: SparkSession) -> Callable[[Column], Column]:
+    jvm = spark._jvm
+    made = jvm.org.apache.spark.sql.functions.udaf(_new(spark, "Learn"), jvm.org.apache.spark.sql.Encoders.BINARY())
+    spark._jsparkSession.udf().register("tideweave_mixer_learn", made)
+    return lambda c: F.call_function("tideweave_mixer_learn", c)
+
+
+def learn(texts: DataFrame, text_col: str = "text") -> bytes:
+    """A packed model of all texts: tables of fixed size, some MB however large the input is.
+
+    Every partition learns on its own, online; the models are added up in a tree, in the order of the
+    partitions, and the last one comes to the driver.  Without rows the model is empty.
     """
-    n = len(size)
-    first = np.concatenate([[0], np.cumsum(size + 1)])
-    b = np.empty(first[-1], np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(n), size)
-    b[at] = data
-    b[first[1:] - 1] = 0x20
-    word = np.repeat(np.arange(n), size + 1)
-    place = np.arange(len(b)) - first[word]
-    wide = b.astype(_U)
-    back = []  # the k-th byte before, 0 before the word
-    for k in range(1, 5):
-        x = np.zeros(len(b), _U)
-        x[k:] = wide[:-k] + _U(1)
-        x[place < k] = 0
-        back.append(x)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(b), _U)  # polynomial over the word so far
-        run = np.zeros(n, _U)
-        for p in range(int(size.max()) + 1 if n else 0):
-            here = np.flatnonzero(size >= p)
-            i = first[here] + p
-            prefix[i] = run[here]
-            run[here] = _scramble(run[here] * _U(0x9E3779B97F4A7C15) + wide[i] + _U(1))
-        contexts = [np.minimum(place, 31).astype(_U), back[0]]
-        for k in (2, 3, 4):
-            contexts.append(contexts[-1] * _U(257) + back[k - 1])
-        contexts.append(prefix)
-        node = np.ones(len(b), _U)
-        slots = np.empty((len(b), 8, PREDICTORS), np.int32)
-        bits = np.empty((len(b), 8), np.uint8)
-        for j in range(8):
-            for k, c in enumerate(contexts):
-                if k < 2:  # small enough to be exact
-                    s = (c << _U(8) | node) & _U((1 << TABLE_BITS[k]) - 1)
-                else:
-                    s = _scramble(c * _U(0xD6E8FEB86659FD93) + node * _U(0xA0761D6478BD642F)) >> _U(64 - TABLE_BITS[k])
-                slots[:, j, k] = s.astype(np.int32) + _FIRST[k]
-            bits[:, j] = (b >> (7 - j)) & 1
-            node = node << _U(1) | bits[:, j].astype(_U)
-    return slots.reshape(-1, PREDICTORS), bits.ravel(), np.repeat(word, 8), np.repeat(place == 0, 8)
-
-
-def count(counts: np.ndarray, data: np.ndarray, size: np.ndarray, times: np.ndarray) -> None:
-    """Add words, each so many times, to ``counts`` (2, SLOTS)."""
-    slots, bits, word, _ = bits_of(data, size)
-    w = times[word].astype(np.float64)
-    for k in range(PREDICTORS):
-        lo, hi = _FIRST[k], _FIRST[k + 1]
-        for v in (0, 1):
-            own = bits == v
-            counts[v, lo:hi] += np.bincount(slots[own, k] - lo, w[own], hi - lo)
-
-
-@dataclass
-class Mixer:
-    """Counts, weights a gate, and the refining table; a model of fixed size."""
-
-    counts: np.ndarray  # (2, SLOTS)
-    weights: np.ndarray  # (GATES, PREDICTORS + 1)
-    refine: np.ndarray  # (GATES, STEPS), probabilities
-
-    @classmethod
-    def start(cls, counts: np.ndarray | None = None) -> Mixer:
-        counts = np.zeros((2, SLOTS), np.float32) if counts is None else counts.astype(np.float32)
-        weights = np.zeros((GATES, PREDICTORS + 1))
-        weights[:, :PREDICTORS] = 1 / PREDICTORS
-        grid = np.linspace(-8, 8, STEPS)
-        return cls(counts, weights, np.tile(1 / (1 + np.exp(-grid)), (GATES, 1)))
-
-    def inputs(self, slots: np.ndarray, bits: np.ndarray | None, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions and gates; with ``bits`` each decision is taken out of the counts once."""
-        n0, n1 = self.counts[0][slots], self.counts[1][slots]
-        if bits is not None:
-            n1 -= bits[:, None]
-            n0 -= 1 - bits[:, None].astype(np.float32)
-            np.maximum(n0, 0, out=n0)
-            np.maximum(n1, 0, out=n1)
-        x = np.empty((len(slots), PREDICTORS + 1), np.float32)
-        np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)), out=x[:, :PREDICTORS])
-        x[:, PREDICTORS] = 0.3
-        n = n0 + n1
-        seen = n > 0
-        longest = np.where(seen.any(1), PREDICTORS - 1 - np.argmax(seen[:, ::-1], axis=1), 0)
-        much = np.minimum(np.log2(n[np.arange(len(n)), longest] + 1).astype(np.int64), EVIDENCE - 1)
-        return x, (longest * EVIDENCE + much) * 2 + first
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of a one; and the mixed stretch, its place and share in the refining table."""
-        s = np.clip((x * self.weights[gate]).sum(1), -7.999, 7.999)
-        p = 1 / (1 + np.exp(-s))
-        pos = (s + 8) * ((STEPS - 1) / 16)
-        lo = pos.astype(np.int64)
-        share = pos - lo
-        refined = self.refine[gate, lo] * (1 - share) + self.refine[gate, lo + 1] * share
-        return np.clip((p + refined) / 2, 1 / 65536, 1 - 1 / 65536), p, s, lo, share
-
-    def learn(self, data: np.ndarray, size: np.ndarray, times: np.ndarray) -> None:
-        """One pass over words, each weighing as often as it occurs and taken out of the counts once."""
-        slots, bits, word, first = bits_of(data, size)
-        w = times[word].astype(np.float64)
-        for at in range(0, len(bits), BATCH):
-            part = slice(at, at + BATCH)
-            y = bits[part].astype(np.float64)
-            x, gate = self.inputs(slots[part], bits[part], first[part])
-            _, p, _, lo, share = self.mixed(x, gate)
-            own = w[part] / max(w[part].mean(), 1e-9)
-            mass = np.bincount(gate, own, GATES)
-            e = (y - p) * own
-            step = RATE * np.minimum(mass / 100, 1) / np.maximum(mass, 1e-9)
-            for k in range(PREDICTORS + 1):
-                self.weights[:, k] += step * np.bincount(gate, e * x[:, k], GATES)
-            cell = gate * STEPS + lo
-            for c, part_of in ((cell, 1 - share), (cell + 1, share)):
-                m = np.bincount(c, own * part_of, GATES * STEPS)
-                hit = np.bincount(c, own * part_of * y, GATES * STEPS)
-                some = m > 0
-                rate = np.minimum(1, REFINE_RATE * m[some])
-                flat = self.refine.ravel()
-                flat[some] += rate * (hit[some] / m[some] - flat[some])
-
-    def log10(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log10 probability of each word with its closing space."""
-        out = np.zeros(len(size))
-        ends = np.cumsum(size)
-        lo = 0
-        while lo < len(size):  # bounded parts
-            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 20_000, "right")), lo + 1)
-            a, b = int(ends[lo] - size[lo]), int(ends[hi - 1])
-            slots, bits, word, first = bits_of(data[a:b], size[lo:hi])
-            x, gate = self.inputs(slots, None, first)
-            p = self.mixed(x, gate)[0]
-            out[lo:hi] = np.bincount(word, np.log10(np.where(bits > 0, p, 1 - p)), hi - lo)
-            lo = hi
-        return out
-
-
-def averaged(models: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refining tables that several passes learnt, averaged by their masses."""
-    total = sum(m for m, _, _ in models)
-    return sum(m * w for m, w, _ in models) / total, sum(m * r for m, _, r in models) / total
+    spark = texts.sparkSession
+    rows = texts.select(F.spark_partition_id().alias("part"), F.col(text_col).cast("binary").alias("text"))
+    rows = kept(rows.groupBy("part").agg(_aggregate(spark)(F.col("text")).alias("model")), "models")
+    add = _function(spark, "tideweave_mixer_add", _new(spark, "Add"))
+    last = rows.agg(F.max("part")).first()[0]
+    while last:
+        ordered = F.array_sort(F.collect_list(F.struct("part", "model")))
+        rows = rows.groupBy(F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(ordered.alias("models"))
+        rows = kept(rows.select("part", add(F.col("models.model")).alias("model")), "models")
+        last //= FAN_IN
+    found = rows.first()
+    return bytes(found.model if found else _new(spark, "Add").pack())
+
+
+def scorer(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
+    """Function from a text's bytes to the log10 probabilities (float32) of its tokens."""
+    sent = spark._jsc.broadcast(model)
+    return _function(spark, "tideweave_mixer_score", _new(spark, "Score", sent))

@@ -1,15 +1,14 @@
-"""Language-model scores of all texts: word counts, and context mixing over the words' bits.
-
-Texts are read once.  Each slice of the input becomes a row of the shared folder: its different
-words, how often the learnt-from texts have them, and for each text the words it has, as small
-differences.  The vocabulary is cut into fragments by the words' hashes; a fragment's task sums the
-counts of its words over all slices.  So a common word costs one entry a slice, and the task of a
-word never gets the texts that hold it.
-
-The bit predictors' tables are counted over all words of all learnt-from texts, fragment by fragment,
-and added up; the mixing weights are learnt in one pass per group of fragments and averaged by mass.
-Then each fragment sends, for every slice, the counts and probabilities of its words back, and the
-slice's texts add them up.
+"""Language-model scores of all texts: context mixing over the bits of texts, and word counts.
+
+1. The context mixer (bit_mixer) learns from all texts that are not held out, online.
+2. It codes every text, which gives each token a probability behind all that stands before it.
+   Each slice of the input becomes a row of the shared folder: its different words with the counts of
+   learnt-from texts, and the tokens in order with their probabilities.
+3. Words are counted over all slices: one row for each word and slice, dealt by the word.  The table of
+   counts grows with the corpus and is never collected or broadcast; each slice gets its words' counts.
+4. A token's probability is a blend of the mixer's and the word's share of all training tokens.  A text
+   tries several shares of the blend, and its probability is the mean over them, so it settles on the
+   share that suits it (SHARES); each is a distribution over texts, and so is the mean.
 """
 
 from __future__ import annotations
@@ -19,48 +18,34 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bit_mixer as M
+from . import bit_mixer
 from . import textcols as C
-from .shared import bounded_batches, kept, shuffle_width, tidy
+from .shared import bounded_batches, kept, tidy
 
 #: One of so many parts of the rows, by crc32 of the identifier as text, is never learnt from.
 FOLDS, HELD_OUT = 7, 2
-SLICE_BYTES = 8 << 20
-#: Bytes of text for one fragment of the vocabulary, about.
-FRAGMENT_BYTES = 32 << 20
-CHUNKS = 32
+SLICE_BYTES = 16 << 20
+#: Parts of a token's probability that come from the word's count.
+SHARES = (0.0, 0.02, 0.1, 0.3, 0.6)
+END = b"\n"  # a word that no text has: the end of a text
 
-_REQUEST = T.StructType([T.StructField("fragment", T.IntegerType())] + [T.StructField(c, T.BinaryType()) for c in ("words", "sizes", "times")])
+_BINARY = ("doc_ids", "no_id", "held", "tokens", "bytes", "codes", "far_codes", "logs", "far_logs")
 _SLICES = T.StructType(
-    [T.StructField("slice", T.StringType())]
-    + [T.StructField(c, T.BinaryType()) for c in ("doc_ids", "no_id", "held", "tokens", "bytes", "pairs", "first_codes", "steps", "far_steps", "times")]
-    + [T.StructField("requests", T.ArrayType(_REQUEST))]
+    [T.StructField("slice", T.LongType()), T.StructField("learnt", T.LongType())]
+    + [T.StructField(c, T.BinaryType()) for c in _BINARY]
+    + [T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
 )
 _SCORES = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType())]
-    + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_bytes", "n_known")]
+    + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_bytes", "n_known", "new_words")]
     + [T.StructField(c, T.DoubleType()) for c in ("log_counts", "score")]
 )
-_FAR = 0xFFFF
-
-
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, _arrow_type(f.dataType)) for c, f in zip(columns, schema)], names=schema.names)
-
-
-def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
-    return pa.Table.from_batches([_batch(rows, schema)])
+#: Codes are two bytes, logarithms thousandths in two bytes; what is larger stands apart.
+_FAR, _UNIT = 0xFFFF, 1000.0
 
 
 def small_int(values: np.ndarray) -> bytes:
@@ -74,221 +59,135 @@ def read_int(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def slice_row(name: str, ids: pa.Array, held: np.ndarray, col: C.Column, fragments: int) -> tuple:
-    """The row of one slice: see _SLICES.  Codes are places in the order (fragment, first seen)."""
+def with_far(values: np.ndarray, far: bytes | np.ndarray) -> np.ndarray:
+    """Two-byte values with those that stand apart put back."""
+    out = np.frombuffer(values, "<u2").astype(np.float64)
+    out[out == _FAR] = far
+    return out
+
+
+def slice_row(number: int, ids: pa.Array, held: np.ndarray, col: C.Column, logs: np.ndarray) -> tuple:
+    """The row of one slice: see _SLICES.  Codes are places among the slice's words, common ones first."""
     words = C.segments(col, lower=True)
     codes, unique = pd.factorize(words.hash)
     first = np.empty(len(unique), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     n = len(unique)
-    fragment = ((np.append(unique, 0).astype(np.uint64) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(fragment, kind="stable")  # the last one is the end of a text
+    doc = words.doc()
+    # tokens in order: each text's words, then its end
+    size = np.diff(words.first) + 1
+    token = np.full(len(words) + len(col), n, np.int64)
+    token[np.arange(len(words)) + doc] = codes
+    order = np.argsort(-np.bincount(token, minlength=n + 1), kind="stable")
     place = np.empty(n + 1, np.int64)
     place[order] = np.arange(n + 1)
-    doc = words.doc()
-    code = np.concatenate([place[codes], np.full(len(col), place[n])])
-    doc = np.concatenate([doc, np.arange(len(col))])
-    learnt = np.bincount(code[~held[doc]], minlength=n + 1)
-    pair, times = np.unique(doc * (n + 1) + code, return_counts=True)
-    doc, code = pair // (n + 1), pair % (n + 1)
-    head = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
-    step = np.append(0, np.diff(code))[: len(code)]
-    step[head] = 0
-    far = step >= _FAR
-    start, end = np.append(words.start[first], 0), np.append(words.end[first], 0)
-    size = np.append((end - start)[:n], len(M.END))[order]
-    lower = np.concatenate([C.LOWER[col.data], np.frombuffer(M.END, np.uint8)])
-    begin = np.append(start[:n], len(col.data))[order]
-    run = np.concatenate([[0], np.cumsum(size)])
-    raw = lower[np.repeat(begin - run[:-1], size) + np.arange(run[-1])]
-    cut = np.searchsorted(fragment[order], np.arange(fragments + 1))
-    requests = [
-        {"fragment": k, "words": raw[run[a] : run[b]].tobytes(), "sizes": small_int(size[a:b]), "times": small_int(learnt[a:b])}
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))
-        if b > a
-    ]
+    token = place[token]
+    learnt = np.repeat(~held, size)
+    times = np.bincount(token[learnt], minlength=n + 1)
+    lower = np.concatenate([C.LOWER[col.data], np.frombuffer(END, np.uint8)])
+    begin = np.append(words.start[first], len(col.data))[order]
+    long = np.append((words.end - words.start)[first], len(END))[order]
+    run = np.concatenate([[0], np.cumsum(long)])
+    raw = lower[np.repeat(begin - run[:-1], long) + np.arange(run[-1])]
+    names = pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(run.astype(np.int32)), pa.py_buffer(raw)])
+    cost = np.rint(-logs.astype(np.float64) * _UNIT)
     return (
-        name,
+        number,
+        int(learnt.sum()),
         ids.fill_null(0).to_numpy().astype(np.int64).tobytes(),
         ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
         held.tobytes(),
-        small_int(np.diff(words.first) + 1),
-        small_int(C.sums(words.end - words.start + 1, words.first) + len(M.END) + 1),
-        small_int(np.bincount(doc, minlength=len(col))),
-        small_int(code[head]),
-        np.minimum(step, _FAR).astype(np.uint16).tobytes(),
-        small_int(step[far]),
-        small_int(times),
-        requests,
+        small_int(size),
+        small_int(C.sums(words.end - words.start + 1, words.first) + len(END)),
+        np.minimum(token, _FAR).astype("<u2").tobytes(),
+        small_int(token[token >= _FAR]),
+        np.minimum(cost, _FAR).astype("<u2").tobytes(),
+        cost[cost >= _FAR].astype("<f8").tobytes(),
+        names,
+        pa.array(times, pa.int32()),
     )
 
 
-def slices(docs: DataFrame, fragments: int, slice_bytes: int) -> DataFrame:
+def slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
+    """Rows of _SLICES from (doc_id, held, text, logs)."""
+    kinds = [pa.int64(), pa.int64(), *(pa.binary() for _ in _BINARY)]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            logs = b"".join(table["logs"].to_pylist())
+            ids = table["doc_id"].combine_chunks() if table["doc_id"].num_chunks != 1 else table["doc_id"].chunk(0)
+            held = table["held"].to_numpy().astype(bool)
+            *values, names, times = slice_row(number, ids, held, C.column(table["text"]), np.frombuffer(logs, "<f4"))
+            cut = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)] + [cut(names), cut(times)], names=_SLICES.names)
+
         for batch in batches:
-            whole = C.column(batch.column(2))
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in C.slices(whole, slice_bytes):
-                yield _batch([slice_row(f"{part}.{k}", batch.column(0).slice(lo, hi - lo), held[lo:hi], whole.part(lo, hi), fragments)], _SLICES)
-                k += 1
+            waiting.append(batch)
+            size += batch["text"].nbytes
+            if size >= slice_bytes:
+                yield row()
+                number, waiting, size = number + 1, [], 0
+        if sum(b.num_rows for b in waiting):
+            yield row()
 
     return docs.mapInArrow(tidy(work), _SLICES)
 
 
-class Fragment:
-    """Words of one fragment over all slices: the different ones, their counts, each slice's places."""
-
-    def __init__(self, table: pa.Table):
-        self.slices = table["slice"].to_pylist()
-        sizes = [read_int(x) for x in table["sizes"].to_pylist()]
-        times = np.concatenate([read_int(x) for x in table["times"].to_pylist()])
-        data = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8)
-        self.lengths = [len(x) for x in sizes]
-        size = np.concatenate(sizes)
-        end = np.cumsum(size)
-        # every word is a text here; the end mark is white space, so it goes by its own number
-        found = C.segments(C.Column(data, np.concatenate([[0], end]), np.zeros(len(size), bool)), np.zeros(256, bool))
-        self.codes, unique = pd.factorize(found.hash)
-        first = np.empty(len(unique), np.int64)
-        first[self.codes[::-1]] = np.arange(len(self.codes) - 1, -1, -1)
-        self.times = np.bincount(self.codes, times, len(unique)).astype(np.int64)
-        self.size = size[first]
-        run = np.concatenate([[0], np.cumsum(self.size)])
-        self.data = data[np.repeat((end - size)[first] - run[:-1], self.size) + np.arange(run[-1])]
-        self.run = run
-
-    def parts(self, words: int = 4000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Learnt-from words in bounded parts: bytes, sizes, counts; the same order in every run."""
-        at = np.flatnonzero(self.times > 0)
-        for lo in range(0, len(at), words):
-            pick = at[lo : lo + words]
-            n = self.size[pick]
-            run = np.cumsum(n) - n
-            yield self.data[np.repeat(self.run[pick] - run, n) + np.arange(n.sum())], n, self.times[pick]
-
-
-_COUNTS = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-_LEARNT = T.StructType([T.StructField("mass", T.DoubleType()), T.StructField("weights", T.BinaryType()), T.StructField("refine", T.BinaryType())])
-_ANSWER = T.StructType([T.StructField("slice", T.StringType()), T.StructField("fragment", T.IntegerType()), T.StructField("known", T.LongType()), T.StructField("times", T.BinaryType()), T.StructField("log10", T.BinaryType())])
-
-
-def _by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[Fragment]:
-    """Fragments of a partition that is sorted by fragment and slice, one at a time."""
-    rest: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        for i in range(batch.num_rows):
-            k = batch.column(1)[i].as_py()
-            if k != now and rest:
-                yield Fragment(pa.Table.from_batches(rest))
-                rest = []
-            now = k
-            rest.append(batch.slice(i, 1))
-    if rest:
-        yield Fragment(pa.Table.from_batches(rest))
-
-
-def train(requests: DataFrame, groups: int) -> M.Mixer:
-    """The model from all requests (slice, fragment, words, sizes, times).
-
-    Tables have ``bit_mixer.SLOTS`` slots however large the input is; they are added up in chunks and
-    only the sums and the averaged weights come to the driver.
-    """
-    spark = requests.sparkSession
-    dealt = requests.repartition(groups, "fragment").sortWithinPartitions("fragment", "slice")
-
-    def count(batches):
-        counts = np.zeros((2, M.SLOTS))
-        for fragment in _by_fragment(batches):
-            for data, size, times in fragment.parts():
-                M.count(counts, data, size, times)
-        if counts.any():
-            flat = np.array_split(counts.astype(np.float32).ravel(), CHUNKS)
-            yield _batch([(k, x.tobytes()) for k, x in enumerate(flat)], _COUNTS)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["counts"].to_pylist())
-        return _table([(table["chunk"][0].as_py(), total.astype(np.float32).tobytes())], _COUNTS)
-
-    sums = sorted((r.chunk, r.counts) for r in dealt.mapInArrow(tidy(count), _COUNTS).groupBy("chunk").applyInArrow(add, _COUNTS).collect())
-    if not sums:
-        return M.Mixer.start()
-    model = M.Mixer.start(np.concatenate([np.frombuffer(x, np.float32) for _, x in sums]).reshape(2, -1))
-    sent = spark.sparkContext.broadcast(model.counts)  # 9 MB, fixed
-
-    def learn(batches):
-        own, mass = M.Mixer.start(sent.value), 0.0
-        for fragment in _by_fragment(batches):
-            for data, size, times in fragment.parts():
-                own.learn(data, size, times)
-                mass += float(times.sum())
-        if mass:
-            yield _batch([(mass, own.weights.tobytes(), own.refine.tobytes())], _LEARNT)
-
-    # one row for each group of fragments, 26 KB
-    rows = sorted(dealt.mapInArrow(tidy(learn), _LEARNT).collect(), key=lambda r: (r.mass, bytes(r.weights)))
-    model.weights, model.refine = M.averaged([(r.mass, np.frombuffer(r.weights).reshape(model.weights.shape), np.frombuffer(r.refine).reshape(model.refine.shape)) for r in rows])
-    return model
-
-
-def answers(requests: DataFrame, model: M.Mixer) -> DataFrame:
-    """For each slice and fragment the counts and log10 probabilities of the slice's words.
-
-    ``known`` is the number of the fragment's words with a count, on one row of each fragment.
-    """
-    sent = requests.sparkSession.sparkContext.broadcast(model)  # 9 MB, fixed
+def counted(rows: DataFrame) -> DataFrame:
+    """(slice, pos, c, new): for each slice's words their counts over all slices.
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slice")
-        fragment = Fragment(table)
-        number = table["fragment"][0].as_py()
-        score = sent.value.log10(fragment.data, fragment.size).astype(np.float32)
-        out, at = [], 0
-        for k, (name, n) in enumerate(zip(fragment.slices, fragment.lengths)):
-            codes = fragment.codes[at : at + n]
-            known = 0 if k else int((fragment.times > 0).sum())
-            out.append((name, number, known, small_int(fragment.times[codes]), score[codes].tobytes()))
-            at += n
-        return _table(out, _ANSWER)
-
-    return requests.groupBy("fragment").applyInArrow(work, _ANSWER)
+    ``new`` is 1 on one row of each word that has a count.
+    """
+    posted = rows.select("slice", F.posexplode(F.arrays_zip("words", "times")).alias("pos", "x")).select("slice", "pos", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    word = Window.partitionBy("word")
+    found = posted.select("slice", "pos", F.sum(F.col("n").cast("long")).over(word).alias("c"), F.min("slice").over(word).alias("low"))
+    return found.select("slice", "pos", "c", ((F.col("c") > 0) & (F.col("slice") == F.col("low"))).cast("int").alias("new"))
 
 
-def sums(rows: DataFrame, answered: DataFrame) -> DataFrame:
-    """Per document the sums over its words."""
+def sums(rows: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
+    """Per document the sums over its tokens; ``new_words`` of a slice stand in its first row."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("fragment")
-        times = np.concatenate([read_int(x) for x in right["times"].to_pylist()] or [np.zeros(0, np.int64)])
-        log10 = np.concatenate([np.frombuffer(x, np.float32) for x in right["log10"].to_pylist()] or [np.zeros(0, np.float32)]).astype(np.float64)
-        log_counts = np.log10(times + 1.0)
+        place = right["pos"].to_numpy()
+        times = np.zeros(len(place), np.int64)
+        times[place] = right["c"].to_numpy()
+        new = int(right["new"].to_numpy().sum())
+        log_counts, portion = np.log10(times + 1.0), times / max(tokens, 1)
         out = []
         for r in left.to_pylist():
-            pairs = read_int(r["pairs"])
-            first = np.concatenate([[0], np.cumsum(pairs)])
-            step = np.frombuffer(r["steps"], np.uint16).astype(np.int64)
-            step[step == _FAR] = read_int(r["far_steps"])
-            run = np.cumsum(step)
-            head = first[:-1]
-            code = run - np.repeat(run[head] - read_int(r["first_codes"]), pairs)
-            n = read_int(r["times"])
+            first = np.concatenate([[0], np.cumsum(read_int(r["tokens"]))])
+            code = with_far(r["codes"], read_int(r["far_codes"])).astype(np.int64)
+            cost = with_far(r["logs"], np.frombuffer(r["far_logs"], "<f8")) / _UNIT
+            mixed, corpus = 10.0**-cost, portion[code]
+            tries = [C.sums(-cost, first)]
+            for share in SHARES[1:]:
+                # a token too unlikely for a float keeps its logarithm
+                p = share * corpus + (1 - share) * mixed
+                tries.append(C.sums(np.where(p > 1e-290, np.log10(np.maximum(p, 1e-300)), np.log10(1 - share) - cost), first))
+            best = np.max(tries, axis=0)
+            score = best + np.log10(np.mean([10.0 ** (t - best) for t in tries], axis=0))
             columns = [
                 pa.array(np.frombuffer(r["doc_ids"], np.int64), mask=np.frombuffer(r["no_id"], bool)),
                 pa.array(np.frombuffer(r["held"], bool)),
                 pa.array(read_int(r["tokens"])),
                 pa.array(read_int(r["bytes"])),
-                pa.array(C.sums(n * (times[code] > 0), first)),
-                pa.array(C.sums(n * log_counts[code], first)),
-                pa.array(C.sums(n * log10[code], first)),
+                pa.array(C.sums((times[code] > 0).astype(np.int64), first)),
+                pa.array(np.append(new, np.zeros(len(first) - 2, np.int64))),
+                pa.array(C.sums(log_counts[code], first)),
+                pa.array(score),
             ]
             out.append(pa.RecordBatch.from_arrays(columns, names=_SCORES.names))
-        return pa.Table.from_batches(out) if out else _table([], _SCORES)
+        return pa.Table.from_batches(out)
 
-    columns = [c for c in _SLICES.names if c != "requests"]
-    return rows.select(*columns).groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(work, _SCORES)
+    columns = [c for c in _SLICES.names if c not in ("words", "times", "learnt")]
+    return rows.select(*columns).groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(work, _SCORES)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -296,28 +195,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
     Texts are lower-cased (A-Z); tokens are words between ASCII white space, then one end.  Counts
     and the model come from all texts that are not held out.  ``base_score`` is the sum of
-    log10((c + 1) / (N + V + 1)); ``score`` the model's log10 probability of the words, each with its
-    closing space, and of the end; ``bits_per_byte`` is over the same bytes.  A null text counts as empty and has the end only; a null
-    identifier counts as empty text for the fold; repeated rows are scored and learnt from each; an
-    empty table gives an empty table; further columns are left out.
+    log10((c + 1) / (N + V + 1)); ``score`` the model's log10 probability of the words in their order,
+    each with a space behind it, and of the end; ``bits_per_byte`` is over the same bytes.  A null text
+    counts as empty and has the end only; a null identifier counts as empty text for the fold; repeated
+    rows are scored and learnt from each; a text of any length is coded whole, by one task; an empty
+    table gives an empty table; further columns are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(shuffle_width(spark), -(-size // FRAGMENT_BYTES))
-    rows = kept(slices(docs.select("doc_id", held.alias("held"), "text"), fragments, slice_bytes), "slices")
-    requests = rows.select("slice", F.inline("requests"))
-    # groups of fragments that share one pass: each sends tables of fixed size
-    model = train(requests, max(1, min(fragments, -(-size // (4 * FRAGMENT_BYTES)) + 5)))
-    answered = kept(answers(requests, model), "answers")
-    known = answered.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"))
-    found = kept(sums(rows, answered), "scores")
-    total = found.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("train_tokens"))
-    one = total.crossJoin(known)  # one row
-    out = found.crossJoin(F.broadcast(one))
-    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("v") + F.lit(1.0))
+    model = bit_mixer.learn(docs.filter(~held))
+    log10 = bit_mixer.scorer(spark, model)(F.col("text").cast("binary"))
+    rows = kept(slices(docs.select("doc_id", held.alias("held"), "text", log10.alias("logs")), slice_bytes), "slices")
+    tokens = rows.agg(F.sum("learnt")).first()[0] or 0
+    found = kept(sums(rows, counted(rows), tokens), "scores")
+    known = found.agg(F.coalesce(F.sum("new_words"), F.lit(0)).alias("v"))  # one row
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(tokens)) + F.col("v") + F.lit(1.0))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    out = found.crossJoin(F.broadcast(known))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
