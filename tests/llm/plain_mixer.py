@@ -4,10 +4,24 @@ import math
 import re
 
 M64 = (1 << 64) - 1
-COMMON = b" etaoinsrhldcumfpgwyb,.v"
-K, BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 6, 15, 12, 48, 336, 33
+COMMON = b" etaoinsrhdluc\xc3mfpgwybvk.,-!'\n\xa9"
+BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 15, 12, 30, 320, 33
 PRIOR, RATE, REFINE = 0.4, 0.015, 0.02
-LOCAL = (1, 3, 5)
+LOCAL = (1, 4)
+
+
+def parts_of(c):
+    """(value, bits, salt, place) of a byte's parts."""
+    place = COMMON.find(c)
+    if place < 0:
+        return [(15, 4, 0, 0), (c >> 4, 4, 15, 48), (c & 15, 4, 16 + (c >> 4), 64 + (c & 0xF0))]
+    if place < 2:
+        return [(place, 3, 0, 0)]
+    if place < 11:
+        return [(place + 2, 4, 0, 0)]
+    if place < 15:
+        return [(13, 4, 0, 0), (place - 11, 2, 13, 16)]
+    return [(14, 4, 0, 0), (place - 15, 4, 14, 32)]
 
 
 def squash(s):
@@ -20,8 +34,8 @@ def odds(n0, n1):
 
 class Mixer:
     def __init__(self):
-        self.tags, self.mass, self.nodes = {}, {}, {}
-        self.weight = [[0.25] * 10 for _ in range(GATES)]
+        self.tags, self.mass, self.nodes, self.texts = {}, {}, {}, 0
+        self.weight = [[0.25] * 8 for _ in range(GATES)]
         self.refine = [[1 / (1 + math.exp(-(i * 0.5 - 8))) for i in range(STEPS)] for _ in range(PLACES)]
 
     def bucket(self, k, h, learn):
@@ -43,23 +57,27 @@ class Mixer:
         weight = self.weight if learn else [w[:] for w in self.weight]
         refine = self.refine if learn else [r[:] for r in self.refine]
         local = {}
-        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        self.texts += 1
+        spaces = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+        words = [text.encode()[a:b] for a, b in spaces]
+        spaces.append((len(text.encode()), len(text.encode())))
         stream = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b" " for w in words] + [b"\n"]
         out, last, before = [], 0, 0
+        at = 0  # bytes read so far
         for token in stream:
             total, word = 0.0, 0
-            for c in token:
-                context = [last & 0xFF, last & 0xFFFF, last & 0xFFFFFF, last & 0xFFFFFFFF, word, (word + (before + 1) * 0x9E3779B97F4A7C15) & M64]
-                place = COMMON.find(c)
-                if 0 <= place < 12:
-                    parts = [(place, 4, 0, 0)]
-                elif place >= 12:
-                    row = 12 + (place - 12) // 4
-                    parts = [(row, 4, 0, 0), (place % 4, 2, row, 16 * (row - 11))]
-                else:
-                    parts = [(15, 4, 0, 0), (c >> 4, 4, 15, 64), (c & 15, 4, 16 + (c >> 4), 80 + (c & 0xF0))]
-                for part in parts:
-                    total += math.log10(self.part(part, context, weight, refine, local, learn))
+            if token == b"\n":
+                at = len(text.encode())
+            for k, c in enumerate(token):
+                context = [last & 0xFFFF, last & 0xFFFFFF, last & 0xFFFFFFFF, word, (word + (before + 1) * 0x9E3779B97F4A7C15) & M64]
+                if k < len(token) - 1:
+                    at = spaces[len(out)][0] + k + 1
+                mixing = not learn or (at >> 8) + self.texts & 7 == 0
+                for part in parts_of(c):
+                    if mixing:
+                        total += math.log10(self.part(part, context, weight, refine, local, learn))
+                    else:
+                        self.count(part, context)
                 last = (last << 8 | c) & M64
                 word = (word + c + 1) * 0xD6E8FEB86659FD93 & M64
                 word ^= word >> 32
@@ -71,13 +89,27 @@ class Mixer:
                 before ^= before >> 32
         return out
 
-    def part(self, part, context, weight, refine, local, learn):
-        value, bits, salt, place0 = part
+    def hashes(self, context, salt):
         hashes = []
         for x in context:
-            h = (x * 0xA0761D6478BD642F + salt + 1) * 0xE7037ED1A0B428DB & M64
-            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & M64
-            hashes.append((h ^ h >> 32) * 0x94D049BB133111EB & M64)
+            h = (x + salt * 0x9E3779B97F4A7C15 + 1) * 0xA0761D6478BD642F & M64
+            hashes.append((h ^ h >> 32) * 0xE7037ED1A0B428DB & M64)
+        return hashes
+
+    def count(self, part, context):
+        value, bits, salt, _ = part
+        for k, h in enumerate(self.hashes(context, salt)):
+            n, node = self.bucket(k, h, True), 1
+            for b in reversed(range(bits)):
+                bit = value >> b & 1
+                if n is not None:
+                    n0, n1 = n.get(node, (0, 0))
+                    n[node] = (n0 + 1 - bit, n1 + bit)
+                node = node << 1 | bit
+
+    def part(self, part, context, weight, refine, local, learn):
+        value, bits, salt, place0 = part
+        hashes = self.hashes(context, salt)
         known = [self.bucket(k, h, learn) for k, h in enumerate(hashes)]
         hits = sum(n is not None for n in known[1:])
         own = []
@@ -86,7 +118,7 @@ class Mixer:
             if at not in local or local[at][0] != tag:
                 local[at] = (tag, {})
             own.append(local[at][1])
-        gate = (hits * 4 + sum(bool(n) for n in own)) * 2 + (salt > 0)
+        gate = (hits * 3 + sum(bool(n) for n in own)) * 2 + (salt > 0)
         w, all_of, node = weight[gate], 1.0, 1
         for b in reversed(range(bits)):
             bit = value >> b & 1
@@ -99,7 +131,7 @@ class Mixer:
             q = max(2**-16, min(1 - 2**-16, (p + r[low] * (1 - share) + r[low + 1] * share) / 2))
             all_of *= q if bit else 1 - q
             if abs(bit - p) > 1 / 128:
-                for i in range(10):
+                for i in range(8):
                     w[i] += (bit - p) * RATE * x[i]
             r[low] += (bit - r[low]) * REFINE * (1 - share)
             r[low + 1] += (bit - r[low + 1]) * REFINE * share

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 from corpus import frame, rows
-from plain_mixer import Mixer
+from plain_mixer import COMMON, Mixer, parts_of
 from pyspark.sql import functions as F
 
 from tideweave.llm import bit_mixer as M
@@ -64,7 +64,7 @@ def compiled(spark, model, texts):
 def test_equals_a_plain_mixer(spark):
     plain = Mixer()
     learnt = [plain.code(t, learn=True) for t in TEXTS]
-    assert all(x < 0 for t in learnt for x in t)
+    assert any(x < 0 for t in learnt for x in t)
     model = M.learn(spark.createDataFrame([(t,) for t in TEXTS], "text string").coalesce(1))
     for t, got in zip(TEXTS, compiled(spark, model, TEXTS)):
         want = plain.code(t)
@@ -100,36 +100,26 @@ def test_order_of_words_counts_and_models_add_up(spark):
     mixed = " ".join(sorted(text.split(), key=lambda w: w[::-1]))
     for model in (one, many):
         a, b = (x.sum() for x in compiled(spark, model, [text, mixed]))
-        assert abs(a - b) > 0.1
+        assert abs(a - b) > 0.01
     known, strange = (x.sum() for x in compiled(spark, many, ["the river walks of data", "qhe zivxr wjlks kf dqtx"]))
     assert known > strange + 3
 
 
-def test_a_part_s_probabilities_sum_to_one():
+def test_a_byte_s_probabilities_sum_to_one():
     plain = Mixer()
-    plain.code("the river walks of the data", learn=True)
-    start = [context * 3 for context in range(6)]
-    total = 0.0
-    for c in range(256):
-        place = b" etaoinsrhldcumfpgwyb,.v".find(c)
-        row = 12 + (place - 12) // 4
-        parts = [(place, 4, 0, 0)] if 0 <= place < 12 else [(row, 4, 0, 0), (place % 4, 2, row, 16 * (row - 11))] if place >= 12 else [(15, 4, 0, 0), (c >> 4, 4, 15, 64), (c & 15, 4, 16 + (c >> 4), 80 + (c & 0xF0))]
+    plain.code("the river walks of the data" * 30, learn=True)
+    context = [context * 3 for context in range(5)]
+
+    def chance(parts):
         p, w, r, own = 1.0, [x[:] for x in plain.weight], [x[:] for x in plain.refine], {}
         for part in parts:
-            p *= plain.part(part, start, w, r, own, False)
-        total += p
-    assert abs(total - 1 + sum_of_common_escapes(plain, start)) < 1e-9
-
+            p *= plain.part(part, context, w, r, own, False)
+        return p
 
-def sum_of_common_escapes(plain, start):
-    """What the code of 12 decisions wastes on the 24 bytes that have shorter ones."""
-    total = 0.0
-    for c in b" etaoinsrhldcumfpgwyb,.v":
-        p, w, r, own = 1.0, [x[:] for x in plain.weight], [x[:] for x in plain.refine], {}
-        for part in [(15, 4, 0, 0), (c >> 4, 4, 15, 64), (c & 15, 4, 16 + (c >> 4), 80 + (c & 0xF0))]:
-            p *= plain.part(part, start, w, r, own, False)
-        total += p
-    return total
+    escaped = lambda c: [(15, 4, 0, 0), (c >> 4, 4, 15, 48), (c & 15, 4, 16 + (c >> 4), 64 + (c & 0xF0))]
+    # the long code of a byte that has a short one is never used
+    wasted = sum(chance(escaped(c)) for c in COMMON)
+    assert abs(sum(chance(parts_of(c)) for c in range(256)) + wasted - 1) < 1e-9
 
 
 def test_small_integers_round_trip():
