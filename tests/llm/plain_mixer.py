@@ -5,7 +5,7 @@ import re
 
 M64 = (1 << 64) - 1
 COMMON = b" etaoinsrhdluc\xc3mfpgwybvk.,-!'\n\xa9"
-BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 15, 12, 30, 320, 33
+BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 15, 12, 30, 320, 32
 PRIOR, RATE, REFINE = 0.4, 0.015, 0.02
 LOCAL = (1, 4)
 
@@ -35,8 +35,8 @@ def odds(n0, n1):
 class Mixer:
     def __init__(self):
         self.tags, self.mass, self.nodes, self.texts = {}, {}, {}, 0
-        self.weight = [[0.25] * 8 for _ in range(GATES)]
-        self.refine = [[1 / (1 + math.exp(-(i * 0.5 - 8))) for i in range(STEPS)] for _ in range(PLACES)]
+        self.weight = [[0.25] * 7 for _ in range(GATES)]
+        self.refine = [[squash((i * 128 + 64) * 24 / 4095 - 12) for i in range(STEPS)] for _ in range(PLACES)]
 
     def bucket(self, k, h, learn):
         at, tag = (k, h >> (64 - BUCKET_BITS)), (h >> 20 | 1) & 0xFFFF
@@ -122,19 +122,16 @@ class Mixer:
         w, all_of, node = weight[gate], 1.0, 1
         for b in reversed(range(bits)):
             bit = value >> b & 1
-            x = [odds(*n.get(node, (0, 0))) if n is not None else 0.0 for n in known] + [odds(*n.get(node, (0, 0))) for n in own] + [0.3]
+            x = [odds(*n.get(node, (0, 0))) if n is not None else 0.0 for n in known] + [odds(*n.get(node, (0, 0))) for n in own]
             s = max(-11.99, min(11.99, sum(a * c for a, c in zip(x, w))))
             p = squash(s)
-            place = (max(-7.999, min(7.999, s)) + 8) * 2
-            low = int(place)
-            share, r = place - low, refine[place0 + node]
-            q = max(2**-16, min(1 - 2**-16, (p + r[low] * (1 - share) + r[low + 1] * share) / 2))
+            low, r = int((s + 12) * 4095 / 24 + 0.5) >> 7, refine[place0 + node]
+            q = max(2**-16, min(1 - 2**-16, (p + r[low]) / 2))
             all_of *= q if bit else 1 - q
             if abs(bit - p) > 1 / 128:
-                for i in range(8):
+                for i in range(7):
                     w[i] += (bit - p) * RATE * x[i]
-            r[low] += (bit - r[low]) * REFINE * (1 - share)
-            r[low + 1] += (bit - r[low + 1]) * REFINE * share
+            r[low] += (bit - r[low]) * REFINE
             for n in own:
                 up, down = n.get(node, (0, 0))[:: -1 if bit else 1]
                 up, down = min(15, up + 1), down // 2 + 1 if down > 2 else down
