@@ -60,3 +60,28 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert mixing.take(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.keep_good(docs, labels).count() == 0  # repeated words, or too few
+
+
+CLASHES = ["_id", "_size", "_own", "_k", "_source", "_digest", "id", "row", "own", "turn", "size", "copies", "rows", "maybe", "word", "bits", "stays", "kept", "component_id", "source_key"]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    data = rows() + [rows()[0], rows()[0], (None, "a null identifier", None, None, None, None, None)]
+    plain = frame(spark, data)
+    clash = plain.select("*", *(F.lit(f"{c}!").alias(c) for c in CLASHES))
+    for stage in (exact_dedup.keep_first, jaccard.keep_one, mixing.take):
+        got, want = stage(clash), stage(plain)
+        assert got.columns == clash.columns
+        got = got.collect()
+        assert all(r[c] == f"{c}!" for r in got for c in CLASHES)
+        assert sorted(str(r[:7]) for r in got) == sorted(str(tuple(r)) for r in want.collect())
+
+
+def test_ties_are_settled_by_the_other_columns(spark):
+    data = [(1, "a b c", "en", "s", 1, f"d{k}", k) for k in range(6)] + [(2, "a  b c", "en", "s", 1, "x", 0)]
+    runs = [[tuple(r) for r in exact_dedup.keep_first(frame(spark, d).repartition(3)).collect()] for d in (data, data[::-1])]
+    assert len(runs[0]) == 1 and runs[0] == runs[1]
+    taken = [sorted(tuple(r) for r in mixing.take(frame(spark, d).repartition(3)).collect()) for d in (data, data[::-1])]
+    assert taken[0] == taken[1]

@@ -91,3 +91,25 @@ def test_secrets_joined_to_words(spark):
         text, want = cases[r.doc_id]
         found = [text[x.start : x.end].strip("/") for x in r.spans if x.kind == 3]
         assert found == want, (text, found)
+
+
+def test_long_strings_and_many_matches(spark):
+    """A run of 160,000 characters and 6,000 matches in one text: time in proportion, spans by brute force."""
+    import re
+    import time
+
+    import random
+
+    r = random.Random(5)
+    run = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(160_000))
+    many = " ".join(f'token = "{"".join(r.choice("abcdef0123456789") for _ in range(20))}"' for _ in range(6000))
+    digest = lambda t: S.digest(S.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"))).first()
+    digest("x")
+    began = time.time()
+    assert digest(run).spans.endswith("markov:0:160000")
+    got = digest(many)
+    assert time.time() - began < 30
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r'token\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', many)]
+    want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", many)]
+    assert got.n_assign == 6000 and got.n_hex == 6000
+    assert got.spans.split(",") == [f"{k}:{a}:{b}" for k, a, b in sorted(want, key=lambda x: (x[1], x[0]))]

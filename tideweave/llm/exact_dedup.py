@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, kept, shuffle_width, tidy
+from .shared import bounded_batches, filter_of, kept, may_hold, shuffle_width, tidy, with_row
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 SPACES = r"[\x20\x09-\x0D]+"
@@ -88,13 +88,14 @@ class Bloom:
 
 
 class Memtable:
-    """Distinct texts of a bounded number of bytes, by digest."""
+    """Distinct texts and all identifiers of a bounded number of bytes, by digest."""
 
     def __init__(self, digest):
         self.digest, self.held, self.bytes = digest, {}, 0
 
     def put(self, doc_id: int | None, text: bytes) -> None:
         d = self.digest(text)
+        self.bytes += 40  # an identifier
         for same, ids in self.held.setdefault(d, []):
             if same == text:  # byte verification
                 ids.append(doc_id)
@@ -210,21 +211,12 @@ def hits(runs: DataFrame) -> DataFrame:
     return leaders.groupBy("bucket").applyInArrow(work, _HITS)
 
 
-#: Bits of the filter that goes before fetching texts, a power of two: 2 MB as a table.
-WANTED_BITS = 1 << 23
-
-
 def wanted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that may be leaders of hits: a filter of fixed size, sent to all tasks.
+    """Rows of ``docs`` that may be leaders of hits, by a filter of fixed size that is sent to all tasks.
 
-    Its table has ``WANTED_BITS / 64`` rows at most.  The fuller it is the more rows pass; the join
-    that follows is exact in any case.
+    The fuller it is the more rows pass; the join that follows is exact in any case.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
-    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(leader_id), {WANTED_BITS}) & 63 as int))")
-    words = found.groupBy(F.shiftright(bit("leader_id"), 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    asked = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(doc_id), {WANTED_BITS}) & 63 as int)) & 1) = 1")
-    return docs.join(F.broadcast(words), F.shiftright(bit("doc_id"), 6) == F.col("_word")).filter(asked).select(*docs.columns)
+    return may_hold(docs, "doc_id", filter_of(found, "leader_id")).filter("maybe").drop("maybe")
 
 
 def verified(docs: DataFrame, found: DataFrame, digest=sha256) -> DataFrame:
@@ -303,12 +295,23 @@ def digest_columns(groups: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns: of equal texts the one with the smallest identifier, once."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.lower(F.hex("text_digest")).alias("_digest"))
-    own = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
-    rows = docs.withColumn("_own", own)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    return rows.join(stay, same, "left_semi").dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    """Rows of ``docs``, all columns: of equal texts the one with the smallest identifier, once.
+
+    A null text counts as empty, a null identifier as larger than all others.  Of rows with equal text
+    and identifier the one with the smallest digest of all its columns stays.  An empty table gives an
+    empty table; columns may have any names.  Rows whose identifier no dropped row has, by a filter of
+    fixed size, stay where they are; only the others are joined.
+    """
+    groups = kept(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_digest"), "groups")
+    rows = with_row(docs, id=F.col(id_col).cast("long"), text=F.col(text_col))
+    rows = may_hold(rows, "id", filter_of(groups.filter("NOT kept"), "doc_id"))
+    stay = groups.filter("kept").select("doc_id", F.lower(F.hex("text_digest")).alias("digest"))
+    own = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256)
+    asked = rows.filter("maybe").select("id", own.alias("own"), "row")
+    found = asked.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("id", "own").orderBy(F.sha2(F.to_json("row"), 256)))
+    once = found.withColumn("turn", turn).filter("turn = 1")
+    return rows.filter("NOT maybe").select("row").unionByName(once.select("row")).select("row.*")
 
 
 ORACLE = r"""

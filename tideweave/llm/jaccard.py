@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import textcols as C
 from .components import components
-from .shared import bounded_batches, kept, shuffle_width, tidy
+from .shared import bounded_batches, filter_of, kept, may_hold, shuffle_width, tidy, with_row
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -145,11 +145,10 @@ def packed(docs: DataFrame, width: int, fragments: int) -> DataFrame:
                 marks = grams[many & ~np.append(False, same)]
                 f, f_marks = _fragment(grams, fragments), _fragment(marks, fragments)
                 out = []
-                cut = np.searchsorted(f, np.arange(fragments + 1))
-                cut_marks = np.searchsorted(f_marks, np.arange(fragments + 1))
-                for k in range(fragments):
-                    here = slice(cut[k], cut[k + 1])
-                    m = marks[cut_marks[k] : cut_marks[k + 1]]
+                present, at = np.unique(f, return_index=True)  # a mark is one of the n-grams
+                for k, lo_k, hi_k in zip(present.tolist(), at, [*at[1:], len(f)]):
+                    here = slice(lo_k, hi_k)
+                    m = marks[np.searchsorted(f_marks, k) : np.searchsorted(f_marks, k, "right")]
                     for number, pick, seen in ((k, ~many[here], m), (-1 - k, many[here], m[:0])):
                         g, d = grams[here][pick], doc[here][pick]
                         if len(g) or len(seen):
@@ -367,11 +366,14 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Rows of ``docs``, all columns, whose identifier is its component's smallest.
 
-    Rows that share an identifier stay or go together.
+    Rows that share an identifier stay or go together.  Nulls and empty tables as for
+    :func:`near_duplicates`; columns may have any names.  Rows whose identifier no dropped row has, by
+    a filter of fixed size, stay where they are; only the others are joined.
     """
-    found = near_duplicates(docs, id_col, text_col, width, similar)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    found = kept(near_duplicates(docs, id_col, text_col, width, similar).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "verdicts")
+    rows = may_hold(with_row(docs, id=F.col(id_col).cast("long")), "id", filter_of(found.filter("NOT stays"), "doc_id"))
+    asked = rows.filter("maybe").join(found.filter("stays"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return rows.filter("NOT maybe").select("row").unionByName(asked.select("row")).select("row.*")
 
 
 def oracle_sql(width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> str:

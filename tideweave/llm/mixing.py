@@ -18,12 +18,14 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, with_row
 
 #: Targets stop at so many times the size of their source.
 MOST_COPIES = 3
 #: Rows that a block of one source holds on average, at most.
 BLOCK_ROWS = 1 << 12
+#: Blocks of a range: prefix sums of a range are one task.
+RANGE_BITS = 12
 WEIGHTS = (1, 2, 3)
 
 
@@ -102,7 +104,8 @@ def systematic(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     n_blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / F.lit(BLOCK_ROWS)))
     counted = sized.agg(n_blocks.alias("n_blocks"))
     bits = F.length(F.bin(F.col("size")))
-    block = F.coalesce(F.pmod(F.col("doc_id"), F.col("n_blocks")), F.lit(0).cast("long"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.col("size").cast("string")))
+    block = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % F.col("n_blocks")
     # source_key: null sources group and join like others
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     rows = (
@@ -110,8 +113,13 @@ def systematic(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         .select("doc_id", "source", "size", key.alias("source_key"), bits.alias("bits"), block.alias("block"))
     )
     blocks = rows.groupBy("source_key", "bits", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source_key").orderBy("bits", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # prefix sums over ranges of blocks, then within each range
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("range", F.shiftright("block", RANGE_BITS))
+    ranges = blocks.groupBy("source_key", "bits", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("source_key", "bits", "range", upto(Window.partitionBy("source_key").orderBy("bits", "range")).alias("lower"))
+    blocks = blocks.withColumn("inside", upto(Window.partitionBy("source_key", "bits", "range").orderBy("block"))).join(ranges, ["source_key", "bits", "range"])
+    blocks = blocks.select("source_key", "bits", "block", (F.col("lower") + F.col("inside")).alias("before"))
     targets = targets.select(key.alias("source_key"), "source_size", "target")
     blocks = blocks.join(targets, "source_key")
     within = Window.partitionBy("source_key", "bits", "block").orderBy("size", "doc_id")
@@ -134,18 +142,19 @@ def systematic(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """Rows of ``docs``, all columns, each as often as the mix holds it.
 
-    Rows equal in identifier, source and size share their copies, the earlier texts first.
+    Rows equal in identifier, source and size share their copies, the earlier texts first, then the
+    smaller digests of all columns.  Nulls and empty tables as for :func:`mix`; columns may have any names.
     """
-    keys = {"_id": F.col(id_col).cast("long"), "_source": F.col(source_col), "_size": word_count(F.col(text_col))}
     mixed = mix(docs, id_col, text_col, source_col, seed, weights, most)
-    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    mixed = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows")
-    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    rows = docs.withColumns(keys).join(mixed, same)
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(text_col))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (turn <= F.col("_copies") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), "_own"))).select(*docs.columns)
+    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    rows = with_row(docs, id=F.col(id_col).cast("long"), own_source=F.col(source_col), own_size=word_count(F.col(text_col)), own_text=F.col(text_col))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    rows = rows.join(mixed, same)
+    # only rows that share all three are sorted by text
+    turn = F.row_number().over(Window.partitionBy("id", "own_source", "own_size").orderBy("own_text", F.when(F.col("rows") > 1, F.sha2(F.to_json("row"), 256))))
+    own = F.floor(F.col("copies") / F.col("rows")) + (turn <= F.col("copies") % F.col("rows")).cast("long")
+    rows = rows.withColumn("own", own.cast("int")).filter("own > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
 
 
 def oracle_sql(seed: int = 17, weights=WEIGHTS, most: int = MOST_COPIES) -> str:
@@ -177,7 +186,8 @@ def oracle_sql(seed: int = 17, weights=WEIGHTS, most: int = MOST_COPIES) -> str:
       SELECT s.doc_id, s.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
              row_number() OVER (PARTITION BY s.source ORDER BY length(bin(s.size)),
-               coalesce(((s.doc_id % n_blocks) + n_blocks) % n_blocks, 0), s.size, s.doc_id NULLS FIRST) AS k
+               CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'n' || s.size)), 1, 8) AS BIGINT) % n_blocks,
+               s.size, s.doc_id NULLS FIRST) AS k
       FROM sized s CROSS JOIN n JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target,
            CAST(floor(rate * k + {offset_of(seed)!r}) - floor(rate * (k - 1) + {offset_of(seed)!r}) AS BIGINT) * size AS taken

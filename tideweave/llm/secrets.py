@@ -170,18 +170,61 @@ def random_stretches(s: Column, start: Column, ratios: Column, threshold: float)
     return bound(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c)), of_places)
 
 
-def apart(span: Column, base: Column) -> Column:
-    """Parts (start, piece) of LEAST characters or more of a span (start, end, hit) that no base span covers."""
-    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    none = F.array().cast("array<struct<start:int,piece:string>>")
+#: Items of an array that one inner pass takes.
+FOLD = 256
 
-    def piece(out, a, b):
-        one = F.struct(a.cast("int").alias("start"), F.substring(span["hit"], a - span["start"] + 1, b - a).alias("piece"))
-        return F.when(b - a >= LEAST, F.concat(out, F.array(one))).otherwise(out)
 
-    begin = F.struct(span["start"].alias("at"), none.alias("out"))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), piece(acc["out"], acc["at"], b["start"]).alias("out"))
-    return F.aggregate(near, begin, step, lambda acc: piece(acc["out"], acc["at"], span["end"]))
+def fold(items: Column, begin: dict[str, Column], step, out_type: str) -> Column:
+    """All that ``step(state, item) -> (new state, items to emit)`` emits, in order.
+
+    Appending copies an array, so what is emitted is gathered for FOLD items at a time.
+    """
+    none = F.array().cast(out_type)
+
+    def one(acc, x):
+        state, emitted = step(acc, x)
+        return F.struct(*(c.alias(k) for k, c in state.items()), F.when(F.size(emitted) > 0, F.concat(acc["out"], emitted)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc, i):
+        inner = F.aggregate(F.slice(items, i + 1, F.lit(FOLD)), F.struct(*(acc[k].alias(k) for k in begin), none.alias("out")), one)
+        return bound(inner, lambda x: F.struct(*(x[k].alias(k) for k in begin), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(*(c.alias(k) for k, c in begin.items()), F.array().cast(f"array<{out_type}>").alias("out"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(FOLD))
+    return F.aggregate(cuts, start, block, lambda acc: F.flatten(acc["out"]))
+
+
+def apart(looks: Column, base: Column) -> Column:
+    """Parts (start, piece) of LEAST characters or more of spans (start, end, hit) that no base span covers.
+
+    One pass over both kinds of spans by start; the spans of ``looks`` do not overlap each other.
+    """
+    none, last = F.array().cast("array<struct<start:int,piece:string>>"), F.lit((1 << 31) - 1)
+    event = lambda start, is_look, end, hit: F.struct(start.alias("start"), F.lit(is_look).alias("look"), end.alias("end"), hit.alias("hit"))
+    events = F.concat(
+        F.transform(looks, lambda x: event(x["start"], 1, x["end"], x["hit"])),
+        F.transform(base, lambda x: event(x["start"], 0, x["end"], F.lit(""))),
+        F.array(event(last, 1, last, F.lit(""))),
+    )
+
+    def step(acc, x):
+        look = x["look"] == 1
+        inside = ~look & (x["start"] < acc["end"])
+        to = F.when(look, acc["end"]).otherwise(x["start"])
+        piece = F.struct(acc["at"].alias("start"), F.substring(acc["hit"], acc["at"] - acc["from"] + 1, to - acc["at"]).alias("piece"))
+        emitted = F.when((look | inside) & (to - acc["at"] >= LEAST), F.array(piece)).otherwise(none)
+        state = {
+            "covered": F.when(look, acc["covered"]).otherwise(F.greatest(acc["covered"], x["end"])),
+            "at": F.when(look, F.greatest(x["start"], acc["covered"])).when(inside, F.greatest(acc["at"], x["end"])).otherwise(acc["at"]),
+            "from": F.when(look, x["start"]).otherwise(acc["from"]),
+            "end": F.when(look, x["end"]).otherwise(acc["end"]),
+            "hit": F.when(look, x["hit"]).otherwise(acc["hit"]),
+        }
+        return state, emitted
+
+    zero = F.lit(0)
+    begin = {"covered": zero, "at": zero, "from": zero, "end": zero, "hit": F.lit("")}
+    return bound(F.array_sort(events), lambda all_of: fold(all_of, begin, step, "array<struct<start:int,piece:string>>"))
 
 
 def pattern_spans(text: Column, pattern: str, kind: int, good) -> Column:
@@ -191,13 +234,13 @@ def pattern_spans(text: Column, pattern: str, kind: int, good) -> Column:
     none = F.array().cast(_SPAN)
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
+        start = acc["at"] + x["before"]
+        end = start + x["long"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(good(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return {"at": end}, F.when(x["good"], F.array(span)).otherwise(none)
 
-    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("before"), F.length(h).alias("long"), good(h).alias("good")))
+    found = bound(zipped, lambda z: fold(z, {"at": F.lit(0)}, step, _SPAN))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -213,7 +256,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     Positions are code points, the end exclusive; kind is the place in KINDS.  A null text counts as
     empty; repeated rows are scanned each; an empty table gives an empty table; further columns are
-    left out.  ``markov`` spans are candidates without what base spans cover, whole or in stretches that look random
+    left out.  Texts and strings of any length are scanned whole, in time about in proportion to them;
+    of overlapping kinds all spans are returned, ties sorted by kind.  ``markov`` spans are candidates without what base spans cover, whole or in stretches that look random
     (see random_stretches).
     """
     spark = docs.sparkSession
@@ -235,7 +279,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     ).drop("text")
     base = reduce(F.concat, [F.col("assign"), F.col("access"), F.col("hex")])
     rows = rows.withColumn("base_spans", F.array_sort(base))
-    pieces = F.flatten(F.transform("looks", lambda x: apart(x, F.col("base_spans"))))
+    pieces = apart(F.col("looks"), F.col("base_spans"))
     markov = F.flatten(F.transform(pieces, lambda x: random_stretches(x["piece"], x["start"], ratios, threshold)))
     return rows.select("doc_id", "base_spans", F.array_sort(F.concat("base_spans", markov)).alias("spans"))
 

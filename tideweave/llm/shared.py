@@ -15,6 +15,7 @@ from functools import wraps
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,28 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame, **keys) -> DataFrame:
+    """The columns ``keys`` beside each row of ``docs`` as a struct ``row``: no name of ``docs`` can clash."""
+    return docs.select(*(c.alias(n) for n, c in keys.items()), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+#: Bits of a filter that is sent to all tasks, a power of two: 2 MB as a table.
+FILTER_BITS = 1 << 23
+
+
+def filter_of(ids: DataFrame, id_col: str) -> DataFrame:
+    """A filter of fixed size over identifiers: FILTER_BITS / 64 rows (word, bits) at most."""
+    place = f"pmod(xxhash64({id_col}), {FILTER_BITS})"
+    return ids.groupBy(F.expr(f"shiftright({place}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias("bits"))
+
+
+def may_hold(rows: DataFrame, id_col: str, filter_rows: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false where the identifier is surely not in the filter."""
+    place = f"pmod(xxhash64({id_col}), {FILTER_BITS})"
+    found = rows.join(F.broadcast(filter_rows), F.expr(f"shiftright({place}, 6)") == F.col("word"), "left")
+    return found.withColumn("maybe", F.expr(f"coalesce(shiftrightunsigned(bits, cast({place} & 63 as int)) & 1, 0) = 1")).drop("word", "bits")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
