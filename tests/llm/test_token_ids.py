@@ -86,3 +86,16 @@ def test_written_and_read_back(spark, tokenizer):
 
 def test_empty_table(spark):
     assert K.token_ids(frame(spark, []), PATH).collect() == []
+
+
+def test_more_files_than_cuts_found_at_a_time(spark, monkeypatch):
+    """Skewed identifiers over the whole range of longs: files stay of about equal size."""
+    monkeypatch.setattr(K, "CUTS", 4)
+    ids = [*range(100), *(1000 + 7 * i for i in range(100)), -(1 << 63), (1 << 63) - 1, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    cuts = K.cuts_of(docs, 20)
+    assert len(cuts) >= 16
+    sizes = np.diff(np.searchsorted(np.sort(np.array([i for i in ids if i is not None])), np.append(cuts, (1 << 63) - 1)))
+    assert sizes.max() <= 30
+    got = sorted(((r.start, r.doc_id) for r in K.token_ids(docs, PATH, file_docs=10).collect()))
+    assert [i for _, i in got] == [None, *sorted(i for i in ids if i is not None)]

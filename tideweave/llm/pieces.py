@@ -269,7 +269,7 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
     """One row per input row: doc_id, n_pieces, ids, ids_crc32, decoded, round_trip.
 
     ``ids_crc32`` is over the ids as little-endian 32-bit integers; ``round_trip`` tells whether
-    decoding gives the normalised text back.  A null text counts as empty; repeated rows are encoded
+    decoding all ids of the text gives the normalised text back.  A null text counts as empty; repeated rows are encoded
     each; an empty table gives an empty table; further columns are left out.  ``with_ids`` and
     ``with_text`` leave out the wide columns.
     """
@@ -285,18 +285,20 @@ def encode_decode(docs: DataFrame, model_bytes: bytes, id_col: str = "doc_id", t
         coder = PieceEncoder(model.value)
         for batch in batches:
             for lo, hi in C.slices(C.column(batch.column(1)), TAKEN):
-                flat, first, same = coder.encode(batch.column(1).slice(lo, hi - lo))
+                texts = batch.column(1).slice(lo, hi - lo)
+                flat, first, _ = coder.encode(texts)
                 raw = flat.astype("<i4")
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(raw))
+                decoded = coder.whole.decode_batch([x.tolist() for x in np.split(raw, first[1:-1])] if len(texts) else [], skip_special_tokens=False)
+                same = [d == _plain(coder.whole, coder.model, t or "") for d, t in zip(decoded, texts.to_pylist())]
                 columns = {
                     "doc_id": batch.column(0).slice(lo, hi - lo),
                     "n_pieces": pa.array(np.diff(first)),
                     "ids": lists,
                     "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(first[:-1], first[1:])], pa.int64()),
-                    "round_trip": pa.array(same),
+                    "decoded": pa.array(decoded, pa.string()),
+                    "round_trip": pa.array(same, pa.bool_()),
                 }
-                if with_text:
-                    columns["decoded"] = pa.array(coder.whole.decode_batch(lists.to_pylist(), skip_special_tokens=False), pa.string())
                 yield pa.RecordBatch.from_arrays([columns[c] for c in out.names], names=out.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -23,6 +23,8 @@ from .shared import bounded_batches, give_back, tidy
 BITS = 18
 #: Labelled rows that the classifier may learn from: those with the smallest hashes of doc_id.
 TRAIN_ROWS = 2500
+#: Longer texts are not learnt from; they are judged like all others.
+TRAIN_TEXT_BYTES = 1 << 18
 #: Least calibrated probability of good quality.
 THRESHOLD = 0.5
 #: Base rules: fewer words, or a larger share of words in repeated windows, reject.
@@ -108,10 +110,11 @@ def features(texts: pa.Array) -> Rows:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Linear:
-    """Fit on at most ``rows`` labelled documents; labels has doc_id and quality (0 or 1)."""
+    """Fit on at most ``rows`` labelled documents of at most TRAIN_TEXT_BYTES; labels has doc_id and quality (0 or 1)."""
     some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    table = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    table = table.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = fit(features(table["text"].combine_chunks()), table["quality"].to_numpy().astype(np.float64), _LENGTH)
     del table

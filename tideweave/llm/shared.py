@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tideweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    # with its scheme, so that Spark and other readers mean the same file system
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return ("file://" + at[len("file:") :] if at.startswith("file:/") and not at.startswith("file://") else at).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

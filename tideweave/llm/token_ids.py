@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,16 +54,18 @@ class WordEncoder:
     the pattern; all three leave the ids as they are.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_UNITS):
+    def __init__(self, model: bytes | str, cache_words: int = CACHE_UNITS):
+        """``model`` is a tokenizers file or its bytes."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        read = Tokenizer.from_buffer if isinstance(model, bytes) else Tokenizer.from_file
+        self.tokenizer = read(model)
         shape = json.loads(self.tokenizer.to_str())
         steps = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.known = shape["normalizer"] == _NORMALISER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[1]["type"] == "ByteLevel"
         if self.known:
-            self.short = Tokenizer.from_file(path)
+            self.short = read(model)
             self.short.normalizer = normalizers.Lowercase()
             self.short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -111,47 +113,49 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
 
 
-def encoded(docs: DataFrame, path: str, end: int | None) -> DataFrame:
-    """doc_id, bucket and ids (little-endian; two bytes each where the vocabulary allows)."""
+def encoded(docs: DataFrame, model, cuts, end: int | None) -> DataFrame:
+    """doc_id, bucket and ids (little-endian; two bytes each where the vocabulary allows).
+
+    ``model`` and ``cuts`` are broadcasts.  Buckets ascend with doc_id; null is in bucket 0.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(path)
+        coder = WordEncoder(model.value)
         wide = max(coder.tokenizer.get_vocab_size(), end or 0) > 0xFFFF
         kind = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
-            whole = C.column(batch.column(2))
+            whole = C.column(batch.column(1))
+            own = np.maximum(np.searchsorted(cuts.value, batch.column(0).fill_null(0).to_numpy(), "right"), 1)
+            own[batch.column(0).is_null().to_numpy(zero_copy_only=False)] = 0
+            bucket = pa.array(own.astype(np.int32))
             for lo, hi in C.slices(whole, TAKEN):
                 ids, first = coder.encode(whole.part(lo, hi), end)
                 offsets = (first * kind.itemsize).astype(np.int32)
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), blobs], names=_ENCODED.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), bucket.slice(lo, hi - lo), blobs], names=_ENCODED.names)
 
     return docs.mapInArrow(tidy(work), _ENCODED)
 
 
-#: Cuts between identifiers that a plan holds, at most.
+#: Cuts between identifiers that are found at a time.
 CUTS = 512
 
 
-def range_of(docs: DataFrame, files: int) -> Column:
-    """Number of a document's range, ascending with doc_id (null first), about ``files`` of them.
+def cuts_of(docs: DataFrame, files: int) -> np.ndarray:
+    """Identifiers that cut the documents into about ``files`` ranges of equal size.
 
-    Quantiles cut the identifiers into ``CUTS`` ranges at most; for more files each is cut into equal
-    widths, so the plan has a fixed size.
+    Quantiles over all documents; for more than ``CUTS`` files each range is cut by quantiles of its
+    own.  The cuts are 8 bytes for each file.
     """
     coarse = min(files, CUTS)
-    found = docs.agg(F.percentile_approx("doc_id", [k / coarse for k in range(coarse + 1)], 10 * coarse).alias("c")).first().c or [0]
-    cuts = sorted(set(found))
-    parts = -(-files // coarse)
-    edges = F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>")
-    own = F.greatest(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))), F.lit(1))
-    if parts > 1:
-        low = F.element_at(edges, own)
-        high = F.element_at(edges, F.least(own + 1, F.lit(len(cuts))))
-        share = (F.col("doc_id") - low) / F.greatest(high - low, F.lit(1))
-        inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
-        own = own * parts + inner
-    return F.coalesce(own, F.lit(0)).cast("int")
+    quantiles = lambda n: F.percentile_approx("doc_id", [k / n for k in range(n)], 10 * n)
+    cuts = sorted(set(docs.agg(quantiles(coarse).alias("c")).first().c or [0]))
+    if (parts := -(-files // coarse)) > 1:
+        edges = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+        own = F.size(F.filter(edges, lambda c: c <= F.col("doc_id")))
+        finer = docs.filter("doc_id IS NOT NULL").groupBy(own.alias("own")).agg(quantiles(parts).alias("c"))
+        cuts = sorted({*cuts, *(x for r in finer.collect() for x in r.c)})  # CUTS rows
+    return np.array(cuts, np.int64)
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
@@ -161,14 +165,16 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int | None = END,
     """
     from tokenizers import Tokenizer
 
-    wide = max(Tokenizer.from_file(path).get_vocab_size(), end or 0) > 0xFFFF
+    with open(path, "rb") as f:
+        model = f.read()
+    wide = max(Tokenizer.from_buffer(model).get_vocab_size(), end or 0) > 0xFFFF
     kind = "<u4" if wide else "<u2"
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = docs.count()
     files = max(shuffle_width(docs.sparkSession), -(-n // file_docs))
-    bucket = range_of(docs, files)
-    rows = encoded(docs.select("doc_id", bucket.alias("bucket"), "text"), path, end)
+    send = docs.sparkSession.sparkContext.broadcast
+    rows = encoded(docs, send(model), send(cuts_of(docs, files)), end)  # the model's file; 8 bytes a file
     rows = rows.repartition(files, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from .shared import bounded_batches, give_back, tidy
 
 #: Labelled rows (toxic, others) that the network may learn from: those with the smallest hashes.
 TRAIN_ROWS = (1500, 2500)
+#: Longer texts are not learnt from; they are judged like all others.
+TRAIN_TEXT_BYTES = 1 << 18
 #: One of so many parts of the rows, by crc32 of the identifier as text, is never learnt from.
 FOLDS, HELD_OUT = 5, 0
 EPOCHS = 14
@@ -111,13 +113,14 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
-    """Fit on at most ``rows`` labelled texts (toxic, others), none of them held out."""
+    """Fit on at most ``rows`` labelled texts (toxic, others) of at most TRAIN_TEXT_BYTES, none of them held out."""
     some = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id")) % FOLDS != HELD_OUT)
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = lambda k, most: some.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = of(1, rows[0]).unionByName(of(0, rows[1]))
     share = some.agg(F.avg("toxic")).first()[0]
-    table = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    table = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    table = table.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sum(rows)).toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     model = fit(table["text"].combine_chunks(), table["toxic"].to_numpy().astype(np.float64), share, epochs)
     del table
