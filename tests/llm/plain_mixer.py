@@ -5,9 +5,9 @@ import re
 
 M64 = (1 << 64) - 1
 COMMON = b" etaoinsrhdluc\xc3mfpgwybvk.,-!'\n\xa9"
-BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 15, 12, 30, 320, 32
+BUCKET_BITS, LOCAL_BITS, GATES, PLACES, STEPS = 15, 12, 24, 320, 32
 PRIOR, RATE, REFINE = 0.4, 0.015, 0.02
-LOCAL = (1, 4)
+LOCAL = (1, 3)
 
 
 def parts_of(c):
@@ -32,10 +32,15 @@ def odds(n0, n1):
     return math.log((n1 + PRIOR) / (n0 + PRIOR)) if n0 + n1 else 0.0
 
 
+def known_odds(n0, n1, learn):
+    """A finished model keeps its predictions in steps of 1/1024."""
+    return odds(n0, n1) if learn else math.floor(odds(n0, n1) * 1024 + 0.5) / 1024
+
+
 class Mixer:
     def __init__(self):
         self.tags, self.mass, self.nodes, self.texts = {}, {}, {}, 0
-        self.weight = [[0.25] * 7 for _ in range(GATES)]
+        self.weight = [[0.25] * 6 for _ in range(GATES)]
         self.refine = [[squash((i * 128 + 64) * 24 / 4095 - 12) for i in range(STEPS)] for _ in range(PLACES)]
 
     def bucket(self, k, h, learn):
@@ -69,7 +74,7 @@ class Mixer:
             if token == b"\n":
                 at = len(text.encode())
             for k, c in enumerate(token):
-                context = [last & 0xFFFF, last & 0xFFFFFF, last & 0xFFFFFFFF, word, (word + (before + 1) * 0x9E3779B97F4A7C15) & M64]
+                context = [last & 0xFFFF, last & 0xFFFFFF, word, (word + (before + 1) * 0x9E3779B97F4A7C15) & M64]
                 if k < len(token) - 1:
                     at = spaces[len(out)][0] + k + 1
                 mixing = not learn or (at >> 8) + self.texts & 7 == 0
@@ -122,14 +127,14 @@ class Mixer:
         w, all_of, node = weight[gate], 1.0, 1
         for b in reversed(range(bits)):
             bit = value >> b & 1
-            x = [odds(*n.get(node, (0, 0))) if n is not None else 0.0 for n in known] + [odds(*n.get(node, (0, 0))) for n in own]
+            x = [known_odds(*n.get(node, (0, 0)), learn) if n is not None else 0.0 for n in known] + [odds(*n.get(node, (0, 0))) for n in own]
             s = max(-11.99, min(11.99, sum(a * c for a, c in zip(x, w))))
             p = squash(s)
             low, r = int((s + 12) * 4095 / 24 + 0.5) >> 7, refine[place0 + node]
             q = max(2**-16, min(1 - 2**-16, (p + r[low]) / 2))
             all_of *= q if bit else 1 - q
-            if abs(bit - p) > 1 / 128:
-                for i in range(7):
+            if abs(bit - p) > 1 / 40:
+                for i in range(6):
                     w[i] += (bit - p) * RATE * x[i]
             r[low] += (bit - r[low]) * REFINE
             for n in own:

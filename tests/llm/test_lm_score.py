@@ -108,7 +108,7 @@ def test_order_of_words_counts_and_models_add_up(spark):
 def test_a_byte_s_probabilities_sum_to_one():
     plain = Mixer()
     plain.code("the river walks of the data" * 30, learn=True)
-    context = [context * 3 for context in range(5)]
+    context = [context * 3 for context in range(4)]
 
     def chance(parts):
         p, w, r, own = 1.0, [x[:] for x in plain.weight], [x[:] for x in plain.refine], {}

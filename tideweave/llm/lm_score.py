@@ -44,8 +44,8 @@ _SCORES = T.StructType(
     + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_bytes", "n_known", "new_words")]
     + [T.StructField(c, T.DoubleType()) for c in ("log_counts", "score")]
 )
-#: Codes are two bytes, logarithms thousandths in two bytes; what is larger stands apart.
-_FAR, _UNIT = 0xFFFF, 1000.0
+#: Codes are two bytes, logarithms steps of 1/250 in two bytes; what is larger stands apart.
+_FAR, _UNIT = 0xFFFF, 250.0
 
 
 def small_int(values: np.ndarray) -> bytes:
@@ -59,9 +59,16 @@ def read_int(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def with_far(values: np.ndarray, far: bytes | np.ndarray) -> np.ndarray:
-    """Two-byte values with those that stand apart put back."""
-    out = np.frombuffer(values, "<u2").astype(np.float64)
+def packed(values: np.ndarray) -> bytes:
+    """Values below _FAR, others as _FAR: low bytes, then high bytes, compressed."""
+    two = np.minimum(values, _FAR).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return pa.compress(np.ascontiguousarray(two.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, far: np.ndarray) -> np.ndarray:
+    """The ``n`` values, with those that stand apart put back."""
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=2 * n, codec="zstd", asbytes=True), np.uint8)
+    out = np.ascontiguousarray(raw.reshape(2, -1).T).view("<u2").ravel().astype(np.float64)
     out[out == _FAR] = far
     return out
 
@@ -99,9 +106,9 @@ def slice_row(number: int, ids: pa.Array, held: np.ndarray, col: C.Column, logs:
         held.tobytes(),
         small_int(size),
         small_int(C.sums(words.end - words.start + 1, words.first) + len(END)),
-        np.minimum(token, _FAR).astype("<u2").tobytes(),
+        packed(token),
         small_int(token[token >= _FAR]),
-        np.minimum(cost, _FAR).astype("<u2").tobytes(),
+        packed(cost),
         cost[cost >= _FAR].astype("<f8").tobytes(),
         names,
         pa.array(times, pa.int32()),
@@ -163,8 +170,9 @@ def sums(rows: DataFrame, counts: DataFrame, tokens: int) -> DataFrame:
         out = []
         for r in left.to_pylist():
             first = np.concatenate([[0], np.cumsum(read_int(r["tokens"]))])
-            code = with_far(r["codes"], read_int(r["far_codes"])).astype(np.int64)
-            cost = with_far(r["logs"], np.frombuffer(r["far_logs"], "<f8")) / _UNIT
+            n = int(first[-1])
+            code = unpacked(r["codes"], n, read_int(r["far_codes"])).astype(np.int64)
+            cost = unpacked(r["logs"], n, np.frombuffer(r["far_logs"], "<f8")) / _UNIT
             mixed, corpus = 10.0**-cost, portion[code]
             tries = [C.sums(-cost, first)]
             for share in SHARES[1:]:
