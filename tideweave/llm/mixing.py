@@ -147,11 +147,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     mixed = mix(docs, id_col, text_col, source_col, seed, weights, most)
     mixed = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
-    rows = with_row(docs, id=F.col(id_col).cast("long"), own_source=F.col(source_col), own_size=word_count(F.col(text_col)), own_text=F.col(text_col))
+    rows = with_row(docs, id=F.col(id_col).cast("long"), own_source=F.col(source_col), own_size=word_count(F.col(text_col)))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
     rows = rows.join(mixed, same)
     # only rows that share all three are sorted by text
-    turn = F.row_number().over(Window.partitionBy("id", "own_source", "own_size").orderBy("own_text", F.when(F.col("rows") > 1, F.sha2(F.to_json("row"), 256))))
+    turn = F.row_number().over(Window.partitionBy("id", "own_source", "own_size").orderBy(F.col("row").getField(text_col), F.when(F.col("rows") > 1, F.sha2(F.to_json("row"), 256))))
     own = F.floor(F.col("copies") / F.col("rows")) + (turn <= F.col("copies") % F.col("rows")).cast("long")
     rows = rows.withColumn("own", own.cast("int")).filter("own > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")
