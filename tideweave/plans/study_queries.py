@@ -120,18 +120,23 @@ def merged_communities(spark, folder):
 
 @query()
 def point_clusters(spark, folder):
-    """Regions' points grouped by complete linkage up to a width, with centres; a group of points is one task."""
+    """Regions' points grouped by complete linkage up to a width, with centres; a group of points is one task.
+
+    Clusters are numbered by their smallest vec_id; points without both coordinates have none.
+    """
     e = F.col("embedding").cast("array<double>")
     points = tables.table(spark, folder, "embeddings").select("label", "vec_id", e[0].alias("x"), e[1].alias("y"))
 
     def work(g):
-        p = g[["x", "y"]].to_numpy()
-        labels = studies.linkage_cut(np.sqrt(((p[:, None] - p) ** 2).sum(-1)), height=0.2)
-        out = g.assign(cluster=labels)
-        center = out.groupby("cluster")[["x", "y"]].transform("mean").round(6)
-        return pd.DataFrame({"label": g["label"], "vec_id": g["vec_id"], "cluster": labels, "cx": center["x"], "cy": center["y"]})
-
-    return points.groupBy("label").applyInPandas(work, "label int, vec_id long, cluster int, cx double, cy double")
+        g = g.sort_values(["vec_id", "x", "y"])
+        ok = np.isfinite(g[["x", "y"]].to_numpy(float)).all(axis=1)
+        labels = pd.array([None] * len(g), dtype="Int32")
+        labels[ok] = studies.linkage_points(g.loc[ok, ["x", "y"]].to_numpy(float), height=0.2)
+        center = g.assign(cluster=labels)[ok].groupby("cluster")[["x", "y"]].transform("mean").round(6)
+        return pd.DataFrame({"label": g["label"], "vec_id": g["vec_id"], "cluster": labels, "cx": center["x"], "cy": center["y"]}, index=g.index)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: told a number, Spark leaves the groups apart
+    return points.repartition(n, "label").groupBy("label").applyInPandas(work, "label int, vec_id long, cluster int, cx double, cy double")
 
 
 @query()
